@@ -9,11 +9,12 @@ similarity of 0.85 a pair differs in more than 15 values once in 800 cases, abov
 it more rarely; links are then confirmed on whole shingle sets.
 
 Order of work: documents with equal sets form one class, and only class
-representatives are indexed. In every bucket the member that meets most others
-is compared with all members first. Where that leaves a bucket in several
-components, members of different components whose signatures are near are
-compared too, each pair in one bucket only. Large groups of copies so cost about
-one comparison a member, and no possible link is left out.
+representatives are indexed. In every bucket the member that meets most others is
+its centre, and all members are compared with it. Two members of a bucket hence
+have a centre in common; where a centre's members are in several components, those
+of different ones whose signatures are near are compared too, by what each lacks
+and adds to the centre's set. Large groups of copies so cost about one comparison
+a member, no pair becomes a row, and no possible link is left out.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ VALUES = CHUNKS * PER_CHUNK
 MAX_DISTANCE = 2 * CHUNKS - 1
 #: Comparisons with one centre that go to one task.
 STAR_ROWS = 256
-#: Members of a bucket that meet in one task when components are compared.
-BUCKET_BLOCK = 2048
+#: Members of a group that meet in one task when components are compared.
+GROUP_BLOCK = 1024
 #: Up to so many ids are broadcast (16 MB) to pick the texts to compare; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -95,104 +96,124 @@ def _bucket_keys(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "sig").mapInArrow(run, "slot int, key long, rep long")
 
 
-def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return (x[:, None] != y[None]).sum(axis=-1)
+def _stars(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Compares whole shingle sets of pairs (a, b), a being a centre of many b.
 
-
-def _near_across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components with near signatures; members: slot, key, rep, comp, sig, n.
-
-    A pair is given in the first slot only in which the two meet. Buckets of over
-    BUCKET_BLOCK members are dealt out as pairs of blocks.
-    """
-    sizes = members.groupBy("key").agg(F.count("*").alias("_n"))
-    blocks = members.join(sizes, "key").withColumn("_blocks", F.ceil(F.col("_n") / BUCKET_BLOCK).cast("int"))
-    own = blocks.withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
-    met = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    met = met.select("slot", "key", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"), "_own", "rep", "comp", "sig", "n")
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-            slot, x, y = rows[0][0], rows[0][2], rows[0][3]
-            sig = np.frombuffer(b"".join(r[7] for r in rows), "<u2").reshape(len(rows), CHUNKS, PER_CHUNK)
-            comp, n, rep = (np.array([r[i] for r in rows], np.int64) for i in (6, 8, 5))
-            mine = np.array([r[4] for r in rows])
-            chunk, out = divmod(slot, PER_CHUNK)
-            for i in range(len(rows)):
-                cand = np.flatnonzero((comp != comp[i]) & (rep > rep[i]) & (mine == y if mine[i] == x else mine == x))
-                # no pair of sizes that far apart can be similar enough
-                cand = cand[100 * np.minimum(n[cand], n[i]) >= 80 * np.maximum(n[cand], n[i])]
-                if len(cand):
-                    differ = sig[cand] != sig[i]
-                    by_chunk = differ.sum(axis=2)
-                    first = (by_chunk <= 1).argmax(axis=1)
-                    wrong = np.where(by_chunk[:, chunk] == 1, differ[:, chunk].argmax(axis=1), 0)
-                    for j in cand[(by_chunk.sum(axis=1) <= MAX_DISTANCE) & (first == chunk) & (wrong == out)]:
-                        yield rep[i], rep[j]
-
-        def grouped() -> Iterator[tuple[int, int]]:
-            rows, at = [], None
-            for b in batches:
-                for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if at != row[:4] and rows:
-                        yield from pairs(rows)
-                        rows = []
-                    at = row[:4]
-                    rows.append(row)
-            if rows:
-                yield from pairs(rows)
-
-        found = []
-        for pair in grouped():
-            found.append(pair)
-            if len(found) == 8192:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
-                found = []
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [(), ()])], ["a", "b"])
-
-    return met.repartition("key", "_x", "_y").sortWithinPartitions("slot", "key", "_x", "_y").mapInArrow(run, "a long, b long")
-
-
-def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets have 100 * intersection >= percent * union.
-
-    Each text travels once for each pair it is the second of; texts that are the
-    first of many pairs go once to each task that compares up to STAR_ROWS of them.
+    Gives a, b, whether they are linked (100 * intersection >= percent * union), the size
+    of a's set, and, for centres with more than one b, what b's set lacks and adds to it.
+    A centre's text goes once to each task that compares up to STAR_ROWS with it.
     """
     ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("_text"))
     few = common.fits(ids, BROADCAST_IDS)
     texts = common.materialize(texts.join(F.broadcast(ids) if few else ids, "_id", "left_semi").groupBy("_id").agg(F.first("_text").alias("_text")), "nd-texts")
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("_parts"))
-    centres = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-    firsts = centres.join(texts, F.col("a") == F.col("_id")).select("a", "_part", F.lit(None).cast("long").alias("b"), "_text")
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / STAR_ROWS).cast("int"))
+    centres = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "_n")
+    firsts = centres.join(texts, F.col("a") == F.col("_id")).select("a", "_part", F.lit(None).cast("long").alias("b"), "_n", "_text")
     others = pairs.join(sizes, "a").withColumn("_part", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int"))
-    others = others.join(texts, F.col("b") == F.col("_id")).select("a", "_part", "b", "_text")
+    others = others.join(texts, F.col("b") == F.col("_id")).select("a", "_part", "b", "_n", "_text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         hasher, centre = WordHasher(SEPARATORS), None
         for batch in batches:
-            a, b, kept = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
-            for i, text in enumerate(binary_rows(batch.column(3))):
+            a, b, n, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
+            for i, text in enumerate(binary_rows(batch.column(4))):
                 s = hasher.shingles(text, width)
                 if b[i] is None:
                     centre = s
                     continue
-                small, large = (s, centre) if len(s) <= len(centre) else (centre, s)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                if 100 * both >= percent * (len(s) + len(centre) - both):
-                    kept.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64())], ["a", "b"])
+                there = _member(s, centre)
+                both = int(there.sum())
+                linked = 100 * both >= percent * (len(s) + len(centre) - both)
+                lacks = centre[~_member(centre, s)].tobytes() if n[i] > 1 else b""
+                out.append((a[i], b[i], linked, len(centre), lacks, s[~there].tobytes() if n[i] > 1 else b""))
+            cols = list(zip(*out, strict=True)) if out else [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "b", "linked", "size", "lacks", "adds"])
+
+    laid = firsts.unionByName(others).repartition("a", "_part").sortWithinPartitions("a", "_part", F.col("b").asc_nulls_first())
+    return laid.mapInArrow(run, "a long, b long, linked boolean, size long, lacks binary, adds binary")
+
+
+def _member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which of the sorted x are in the sorted `of`."""
+    if not len(of):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(of, x)
+    at[at == len(of)] = 0
+    return of[at] == x
+
+
+class _Ragged:
+    """Sorted arrays of different lengths, laid end to end."""
+
+    def __init__(self, rows: list[bytes]) -> None:
+        self.all = np.frombuffer(b"".join(rows), np.uint64)
+        self.at = np.concatenate([[0], np.cumsum([len(r) // 8 for r in rows])]).astype(np.int64)
+        self.n = np.diff(self.at)
+
+    def shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        """How many values row i has in common with each of the others."""
+        n, own = self.n[others], self.all[self.at[i] : self.at[i + 1]]
+        if not len(own) or not n.sum():
+            return np.zeros(len(others), np.int64)
+        starts = np.cumsum(n) - n
+        where = np.repeat(self.at[others] - starts, n) + np.arange(n.sum())
+        return np.bincount(np.repeat(np.arange(len(others)), n), _member(self.all[where], own), minlength=len(others)).astype(np.int64)
+
+
+def _links_across(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one centre that are in different components.
+
+    members: centre, rep, comp, sig, size (of the centre's set), lacks, adds. From what two
+    sets lack and add to the same third, the size of their intersection follows exactly.
+    Groups of over GROUP_BLOCK members are dealt out as pairs of blocks. In a task,
+    components grow together as links are found, so at most one link a member is given.
+    """
+    sizes = members.groupBy("centre").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("_blocks"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+    met = members.join(sizes.where("_lo <> _hi"), "centre").withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
+    met = met.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = met.select("centre", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"), "_own", "rep", "comp", "sig", "size", "lacks", "adds")
+
+    def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        x, y, size = rows[0][1], rows[0][2], rows[0][7]
+        mine, rep, comp = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5))
+        sig = np.frombuffer(b"".join(r[6] for r in rows), "<u2").reshape(len(rows), VALUES)
+        lacks, adds = _Ragged([r[8] for r in rows]), _Ragged([r[9] for r in rows])
+        n = size - lacks.n + adds.n
+        for i in range(len(rows)):
+            cand = np.flatnonzero((comp != comp[i]) & (rep > rep[i]) & (mine == (y if mine[i] == x else x)))
+            cand = cand[100 * np.minimum(n[cand], n[i]) >= percent * np.maximum(n[cand], n[i])]
+            cand = cand[(sig[cand] != sig[i]).sum(axis=1) <= MAX_DISTANCE] if len(cand) else cand
+            if not len(cand):
+                continue
+            both = size - lacks.n[i] - lacks.n[cand] + lacks.shared(i, cand) + adds.shared(i, cand)
+            for j in cand[100 * both >= percent * (n[i] + n[cand] - both)]:
+                if comp[i] != comp[j]:
+                    comp[comp == comp[j]] = comp[i]
+                    yield int(rep[i]), int(rep[j])
 
-    return firsts.unionByName(others).repartition("a", "_part").sortWithinPartitions("a", "_part", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def grouped() -> Iterator[tuple[int, int]]:
+            rows, at = [], None
+            for b in batches:
+                for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if at != row[:3] and rows:
+                        yield from links(rows)
+                        rows = []
+                    at = row[:3]
+                    rows.append(row)
+            if rows:
+                yield from links(rows)
+
+        a, b = zip(*found, strict=True) if (found := list(grouped())) else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return met.repartition("centre", "_x", "_y").sortWithinPartitions("centre", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
 def link(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
@@ -216,17 +237,11 @@ def link(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     best: Column = F.max(F.struct("weight", (-F.col("rep")).alias("m")))
     centres = met.join(weights, "rep").groupBy("key").agg((-best["m"]).alias("a"))
     stars = met.join(centres, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    edges = common.materialize(_confirmed(docs, common.materialize(stars, "nd-stars"), width, percent), "nd-edges")
-
+    compared = common.materialize(_stars(docs, common.materialize(stars, "nd-stars"), width, percent), "nd-compared")
+    edges = compared.where("linked").select("a", "b")
     first = components(edges)
-    of = met.select("slot", "key", "rep").join(first, met["rep"] == first["id"], "left").select("slot", "key", "rep", F.coalesce("component", "rep").alias("comp"))
-    of = common.materialize(of, "nd-members")
-    split = of.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
-    members = of.join(split, "key").join(reps.select("rep", "sig", "n"), "rep").select("slot", "key", "rep", "comp", "sig", "n")
-    rest = common.materialize(_near_across(members).distinct(), "nd-rest")
-    # the centre of a pair that was compared already needs no second look
-    rest = common.materialize(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "nd-rest")
-    more = common.materialize(_confirmed(docs, rest, width, percent), "nd-edges")
+    members = compared.join(first, compared["b"] == first["id"], "left").select(F.col("a").alias("centre"), F.col("b").alias("rep"), F.coalesce("component", "b").alias("comp"), "size", "lacks", "adds")
+    more = common.materialize(_links_across(members.join(reps.select("rep", "sig"), "rep"), percent), "nd-edges")
 
     final = components(edges.union(more))
     classes = reps.join(final, reps["rep"] == final["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
