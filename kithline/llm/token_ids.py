@@ -11,11 +11,11 @@ the plain Latin letters are encoded by the library as a whole.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
-import numpy as np
-
-#: Words kept in a worker's cache before it starts anew.
-CACHE_WORDS = 500_000
+#: Words after which a worker's cache drops those it did not meet again; it holds twice as many at most.
+CACHE_WORDS = 250_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _PLAIN = re.compile(f"[\\n\\x20-\\x7e{_LETTER}]*")
 
@@ -28,17 +28,30 @@ def _byte_chars() -> dict[int, str]:
 
 
 class _Cache(dict):
+    """Remembers what make() gave; when full, only keys that are met again outlive the next filling."""
+
     def __init__(self, make, limit: int) -> None:
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        out = self[key] = self.make(key)
+        self[key] = out
         return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class TokenEncoder:
     """encode(text) gives the ids of a text as little-endian unsigned 32-bit integers.
 
@@ -64,13 +77,19 @@ class TokenEncoder:
             self.odd = re.compile(r"<\||[\x1c-\x1f]")
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _piece(self, piece: str) -> bytes:
         shown = "".join(map(self.shown.__getitem__, piece.encode()))
-        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        return _packed([t.id for t in self.model.tokenize(shown)])
 
     def _word(self, word: str) -> bytes:
+        core = word.rstrip(".,")
+        letters = core[1:] if self.lead_space and core[:1] == " " else core
+        if letters.isascii() and letters.isalpha():  # one piece, and perhaps one of punctuation
+            shown = letters.lower() if not self.lead_space else core.replace(" ", self.shown[32])
+            out = _packed([t.id for t in self.model.tokenize(shown)])
+            return out + self.pieces[word[len(core) :]] if len(core) < len(word) else out
         if not _PLAIN.fullmatch(word):
             return self._whole(word)
         pieces = self.cut.findall(word if self.lead_space else word.lower())

@@ -72,9 +72,9 @@ def write_tokens(
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids; unselected columns are not read."""
     stored = spark.read.schema(STORED).parquet(path)
-    sums = stored.groupBy("file_no").agg(F.sum("n_tokens").alias("_n"))  # a row per file
+    sums = stored.groupBy("file_no").agg(F.sum("n_tokens").alias("_n"))  # a row per file, so never large
     base = sums.select("file_no", (F.sum("_n").over(Window.orderBy("file_no")) - F.col("_n")).alias("_base"))
-    return stored.join(base, "file_no").select("doc_id", (F.col("_base") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
+    return stored.join(F.broadcast(base), "file_no").select("doc_id", (F.col("_base") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
 
 
 def digests(tokens: DataFrame) -> DataFrame:
