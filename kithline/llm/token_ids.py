@@ -15,8 +15,10 @@ import sys
 from array import array
 
 #: Words after which a worker's cache drops those it did not meet again; it holds twice as many at most.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 350_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+#: White space and controls other than blanks and line feeds.
+_RARE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PLAIN = re.compile(f"[\\n\\x20-\\x7e{_LETTER}]*")
 
 
@@ -95,10 +97,18 @@ class TokenEncoder:
         pieces = self.cut.findall(word if self.lead_space else word.lower())
         return b"".join(map(self.pieces.__getitem__, pieces))
 
+    def _is_odd(self, text: str) -> bool:
+        """Whether odd matches; plain substring tests decide most texts."""
+        if "<|" in text:
+            return True
+        if self.lead_space and ("  " in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace()):
+            return True
+        return _RARE.search(text) is not None and self.odd.search(text) is not None
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.odd.search(text):
+        if self._is_odd(text):
             return self._whole(text)
         if not self.lead_space:
             return b"".join(map(self.words.__getitem__, text.split()))
