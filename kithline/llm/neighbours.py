@@ -103,6 +103,15 @@ def _best(query: np.ndarray, cid: np.ndarray, score: np.ndarray, keep: int) -> t
     return q[rank < keep], c[rank < keep], s[rank < keep]
 
 
+def _lists(query: np.ndarray, cid: np.ndarray, score: np.ndarray):
+    """A row for each query with the lists of its hits; the arguments are sorted by query."""
+    import pyarrow as pa
+
+    starts = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+    at = pa.array(np.append(starts, len(query)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(query[starts]), pa.ListArray.from_arrays(at, pa.array(cid)), pa.ListArray.from_arrays(at, pa.array(score))], ["query", "cids", "scores"])
+
+
 def _valid(vectors: DataFrame) -> DataFrame:
     e = F.col("embedding")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -195,18 +204,32 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, functions: int | N
                         hits = [reduced()]
                         held = len(hits[0][0])
                         if held > HELD_HITS // 2:  # that many queries: let the next step merge them
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in hits[0]], ["query", "cid", "score"])
+                            yield _lists(*hits[0])
                             hits, held = [], 0
         if hits:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in reduced()], ["query", "cid", "score"])
+            yield _lists(*reduced())
+
+    def merge(batches: Iterator) -> Iterator:
+        """The best of each query from the lists of all tasks; rows come sorted by query."""
+        import pyarrow as pa
+
+        held = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.float64))
+        for b in batches:
+            n = np.diff(b.column(1).offsets.to_numpy())
+            new = (np.repeat(b.column(0).to_numpy(), n), b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy())
+            q, c, s = _best(*(np.concatenate(x) for x in zip(held, new, strict=True)), k + 1)
+            open_query = q == q[-1] if len(q) else np.empty(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(x[~open_query]) for x in (q, c, s)], ["query", "cid", "score"])
+            held = tuple(x[open_query] for x in (q, c, s))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["query", "cid", "score"])
 
     laid = blocks.unionByName(probes).repartition("key", "part").sortWithinPartitions("key", "part", "kind")
-    hits = laid.mapInArrow(search, "query long, cid long, score double").groupBy("query", "cid").agg(F.max("score").alias("score"))
+    lists = laid.mapInArrow(search, "query long, cids array<long>, scores array<double>")
+    hits = lists.repartition("query").sortWithinPartitions("query").mapInArrow(merge, "query long, cid long, score double")
 
     def first(df: DataFrame, key: str, by: str, many: int, name: str = "_rank") -> DataFrame:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), by))).where(F.col(name) <= many)
 
-    hits = first(hits, "query", "cid", k + 1).drop("_rank")
     hits = hits.join(classes.select("cid", "ids"), "cid").select("query", "score", F.explode("ids").alias("vec_id"))
     hits = common.materialize(first(hits, "query", "vec_id", k + 1).drop("_rank"), "ann-hits")
     out = asked.withColumnRenamed("vec_id", "query_id").join(hits, F.col("cid") == F.col("query")).where("query_id <> vec_id")
