@@ -68,10 +68,16 @@ def _fold_word(s: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
-def fold_any(s):  # noqa: ANN001, ANN201
+def fold_any(c: Column) -> Column:
     """ASCII for any script: decompositions, digits by value, other letters by the last word of their Unicode name."""
-    return s.map(lambda x: x if x is None or x.isascii() else _fold_word(x)).str.lower()
+
+    def folded(s):  # noqa: ANN001, ANN202
+        return s.map(lambda x: x if x is None or x.isascii() else _fold_word(x)).str.lower()
+
+    import pandas as pd
+
+    folded.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(folded, "string")(c)
 
 
 def strip_zeros(t: Column) -> Column:
