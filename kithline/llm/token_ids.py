@@ -69,7 +69,7 @@ class TokenEncoder:
         self.lead_space = lead_space
         self.shown = _byte_chars()
         self.pieces = _Cache(self._piece, cache_words)
-        self.words = _Cache((lambda w: self._word(" " + w)) if lead_space else self._word, cache_words)
+        self.words = _Cache((lambda w: self._word(w if w[:1] == "\n" else " " + w)) if lead_space else self._word, cache_words)
         tail = "re|ve|m|ll|d"
         if lead_space:
             self.cut = re.compile(f"'(?:s|t|{tail})| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s0-9{_LETTER}]+|\\s+(?!\\S)|\\s+")
@@ -86,6 +86,8 @@ class TokenEncoder:
         return _packed([t.id for t in self.model.tokenize(shown)])
 
     def _word(self, word: str) -> bytes:
+        if self.lead_space and word[:1] == "\n":
+            return self.pieces["\n"] + self._word(word[1:])
         core = word.rstrip(".,")
         letters = core[1:] if self.lead_space and core[:1] == " " else core
         if letters.isascii() and letters.isalpha():  # one piece, and perhaps one of punctuation
@@ -112,6 +114,9 @@ class TokenEncoder:
             return self._whole(text)
         if not self.lead_space:
             return b"".join(map(self.words.__getitem__, text.split()))
+        if "\n" in text and "\n\n\n" not in text and _RARE.search(text) is None:
+            # each of one or two line feeds before a word is a piece of its own, so words are cut there too
+            text = text.replace("\n", " \n")
         first, *rest = text.split(" ")
         return self._word(first) + b"".join(map(self.words.__getitem__, rest))
 

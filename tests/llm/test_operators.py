@@ -277,3 +277,19 @@ def test_pipeline_on_odd_rows_and_empty_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
         docs.collect()
+
+
+def test_line_feeds_encode_as_the_library_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from kithline.llm.token_ids import TokenEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ours, theirs = TokenEncoder(path, True), Tokenizer.from_file(path)
+    parts = ("end.", "\n", "\n\n", "\n\n\n", "Next", "'s", "\t", " of", " 中", "É")
+    for a in parts:
+        for b in parts:
+            for c in parts:
+                text = f"x{a}{b}{c}y"
+                assert np.frombuffer(ours.encode(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, text
