@@ -157,12 +157,12 @@ def rarity(recs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def hashed_vector(text: Column, dim: int = 64) -> Column:
-    """Unit vector of hashed character 3-grams, the default encoder; empty texts are encoded as "query: -"."""
+    """Unit vector of hashed character 3-grams, the default encoder; null and empty texts are encoded as "query: -"."""
     # an expression named in a lambda is computed anew for each element, so each value is bound once
     let = lambda value, body: F.transform(F.array(value), body)[0]
     bucket = lambda g: F.pmod(F.xxhash64(g), F.lit(dim)).cast("int")
     each = F.sequence(F.lit(0), F.lit(dim - 1))
-    given = F.concat(F.lit("query: "), F.when(F.trim(text) == "", "-").otherwise(text))
+    given = F.concat(F.lit("query: "), F.when(F.coalesce(F.trim(text), F.lit("")) == "", "-").otherwise(text))
     at = let(given, lambda t: F.transform(T.trigrams(t), bucket))
     counts = let(at, lambda a: F.transform(each, lambda i: F.size(F.filter(a, lambda x: x == i)).cast("double")))
     unit = lambda c: let(F.sqrt(dot(c, c)), lambda n: F.transform(c, lambda x: (x / n).cast("float")))
