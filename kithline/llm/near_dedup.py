@@ -4,9 +4,9 @@ Signature: 48 MinHash values of a document's shingle set, 16 bits of each, in 8
 chunks of 6. Two signatures that differ in at most 15 values share, by the
 pigeonhole principle, a chunk that differs in at most one; so a chunk is indexed
 under its six forms with one value left out (the allowed chunk errors, enumerated)
-and every pair under that distance meets in some bucket. At the linking
-similarity of 0.85 a pair differs in more than 15 values once in 800 cases, above
-it more rarely; links are then confirmed on whole shingle sets.
+and every pair under that distance meets in some bucket. Most pairs at a greater
+distance meet too: at a similarity of 0.85 a pair shares no bucket once in 160,000
+cases, at 0.8 once in 5,000. Links are then confirmed on whole shingle sets.
 
 Order of work: documents with equal sets form one class, and only class
 representatives are indexed. In every bucket the member that meets most others is
@@ -33,8 +33,8 @@ from .shingles import WordHasher, binary_rows, mix
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 CHUNKS, PER_CHUNK = 8, 6
 VALUES = CHUNKS * PER_CHUNK
-#: A chunk may have one error, so so many of all values may differ.
-MAX_DISTANCE = 2 * CHUNKS - 1
+#: Members of one centre whose signatures differ in more values are not compared; at a similarity of 0.8 one pair in a million is that far apart.
+MAX_DISTANCE = VALUES // 2
 #: Comparisons with one centre that go to one task.
 STAR_ROWS = 256
 #: Members of a group that meet in one task when components are compared.
