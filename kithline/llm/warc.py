@@ -25,6 +25,8 @@ from . import common
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 4 << 20
+#: Tasks that ranges are dealt over at most; beyond it a task reads several ranges.
+READ_TASKS = 20_000
 CHUNK = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "record_id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary, path string, position long"
@@ -155,6 +157,8 @@ def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: boo
 
     payloads=False leaves payload null. A record that ends too early or whose payload
     does not have its stated digest is an error. Archives without bytes have no records.
+    archives is read once more, for the number of ranges: rows of a path and an offset
+    are so small that Spark, left to itself, would put all of them into one task.
     """
     ranges = archives.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("first"))
 
@@ -176,7 +180,8 @@ def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: boo
                             rows, held = [], 0
         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return ranges.repartition("path", "first").mapInArrow(run, RECORDS)
+    count = archives.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0]
+    return ranges.repartition(min(max(int(count or 0), 1), READ_TASKS)).mapInArrow(run, RECORDS)
 
 
 def with_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
