@@ -38,6 +38,15 @@ def text_sources(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def among_least(h: Column, n: Column | int, rows: int) -> Column:
+    """Whether a 64-bit hash is in the part of its range that holds about four times `rows` of n hashes.
+
+    The least `rows` of all are among those that pass, but for one case in far more than
+    10 ** 100 (rows >= 300); so a top-k over a large table moves few rows. n <= 4 * rows passes all.
+    """
+    return (h.cast("double") + float(1 << 63)) / float(1 << 64) * n <= F.lit(4.0 * rows)
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows

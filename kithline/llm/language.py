@@ -193,9 +193,13 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Lang
     """Learns from rows (doc_id, text, lang) whose text and lang are known.
 
     At most rows_per_language rows of each language, those of the least hash of their id
-    and text, come to the driver; languages are taken to be few. No row gives a model without languages.
+    and text, come to the driver; repeated rows count once, and languages are taken to be
+    few. No row gives a model without languages.
     """
-    rows = labelled.where("text is not null and lang is not null").select("lang", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("_h"))
+    known = labelled.where("text is not null and lang is not null").select("lang", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("_h"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("_all"))  # a row per language
+    low = known.join(F.broadcast(counts), "lang").where(common.among_least(F.col("_h"), F.col("_all"), rows_per_language))
+    rows = low.groupBy("lang", "_h").agg(F.min("text").alias("text"))
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_n") <= rows_per_language)
     samples: dict[str, list[bytes]] = {}
     for lang, text in first.select("lang", "text").toLocalIterator():

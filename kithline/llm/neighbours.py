@@ -136,7 +136,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, functions: int | N
     n, longest = classes.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
     functions = functions or (4 + max(0, round(np.log(max(n, 1) / 1e5) / np.log(3))))
     index = Index(dim, longest or 1.0, min(functions, 10))
-    sample = [r[0] for r in classes.orderBy(F.xxhash64("cid"), "cid").select("v").limit(SAMPLE_ROWS).toLocalIterator()]
+    sample = [r[0] for r in classes.where(common.among_least(F.xxhash64("cid"), n, SAMPLE_ROWS)).orderBy(F.xxhash64("cid"), "cid").select("v").limit(SAMPLE_ROWS).toLocalIterator()]
     if sample:
         index.fit(np.array(sample), k)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from kithline.llm import components, decontaminate, language, licenses, near_dedup, neighbours, packing, shingles, token_ids, token_output, toxicity, url_filter, warc
+from kithline.llm import common, components, decontaminate, language, licenses, near_dedup, neighbours, packing, shingles, token_ids, token_output, toxicity, url_filter, warc
 
 SF = "/root/testdata/sf0.001"
 WORD, BYTE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -293,3 +293,11 @@ def test_line_feeds_encode_as_the_library_does():
             for c in parts:
                 text = f"x{a}{b}{c}y"
                 assert np.frombuffer(ours.encode(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, text
+
+
+def test_least_hashes_are_among_those_that_pass(spark):
+    rows = spark.range(20000).select(F.xxhash64("id").alias("h"))
+    least = lambda df: [r.h for r in df.orderBy("h").limit(300).collect()]
+    passed = rows.where(common.among_least(F.col("h"), 20000, 300))
+    assert least(passed) == least(rows) and passed.count() < 1600
+    assert rows.limit(1000).where(common.among_least(F.col("h"), 1000, 300)).count() == 1000
