@@ -29,6 +29,8 @@ from .token_ids import encoder
 
 TIERS = (128, 256, 512, 1024, 2048)
 GROUP_TOKENS = 1 << 16
+#: Words an encoder remembers; it lives on in the worker through later stages, so it holds fewer than others do.
+CACHE_WORDS = 160_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, padding long"
 
 
@@ -151,7 +153,7 @@ def pack(
     def run(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer_path, lead_space).encode
+        encode = encoder(tokenizer_path, lead_space, CACHE_WORDS).encode
         end = np.array([end_id], "<u4").tobytes()
         packer = _Packer(TaskContext.get().partitionId(), tiers, group_tokens, keep_ids)
         for batch in batches:

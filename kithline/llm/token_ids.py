@@ -124,9 +124,9 @@ class TokenEncoder:
 _made: dict[tuple, TokenEncoder] = {}
 
 
-def encoder(path: str, lead_space: bool) -> TokenEncoder:
+def encoder(path: str, lead_space: bool, cache_words: int = CACHE_WORDS) -> TokenEncoder:
     """The encoder of this Python worker, made once."""
-    key = (path, lead_space)
+    key = (path, lead_space, cache_words)
     if key not in _made:
-        _made[key] = TokenEncoder(path, lead_space)
+        _made[key] = TokenEncoder(path, lead_space, cache_words)
     return _made[key]
