@@ -30,6 +30,8 @@ WORD_LIMIT = 6.0
 MIN_SHARE = 0.02
 #: Bytes of text that are labelled at once.
 STEP_BYTES = 1 << 21
+#: New words that are scored at once; each takes about a kilobyte meanwhile.
+SCORED_WORDS = 8192
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalpha())
 #: First code points of Unicode script ranges, and the script from there on.
 SCRIPT_RANGES = (
@@ -108,6 +110,9 @@ class LanguageModel:
 
     def scores(self, words: list[bytes]) -> np.ndarray:
         """Cost of each word in each language: 0 in the best, at most WORD_LIMIT."""
+        return np.concatenate([self._scores(words[i : i + SCORED_WORDS]) for i in range(0, len(words), SCORED_WORDS)])
+
+    def _scores(self, words: list[bytes]) -> np.ndarray:
         bucket, owner = _ngrams(words)
         sums = np.empty((len(words), len(self.langs)), np.float32)
         for j in range(len(self.langs)):
