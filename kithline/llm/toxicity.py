@@ -6,7 +6,9 @@ words that occur in toxic rows far more often than in ordinary ones. A text is c
 at white space into windows of some WINDOW bytes; each is compressed with either
 dictionary, and the bytes that the toxic one saves are counted over several
 thresholds. A logistic regression fitted on sample rows that the dictionaries
-have not seen turns these counts into a probability.
+have not seen turns these counts into a probability. It weighs them by the text's
+kind of writing too (a few components of its byte frequencies), as a part that tells
+in one language is ordinary in another.
 """
 
 from __future__ import annotations
@@ -28,9 +30,13 @@ WINDOW = 48
 THRESHOLDS = (1, 2, 3, 4, 6)
 BASE_BYTES, OWN_BYTES = 24 << 10, 24 << 10
 GRAM = 5
+#: Beginnings of words up to this length are parts as well.
+LONGEST_PART = 15
 PAD = 48
-#: How many times as often as in ordinary rows a word part must occur in toxic ones, and in how many of these.
-MIN_RATIO, MIN_ROWS = 20.0, 3
+#: In how many toxic rows a telling word part must occur.
+MIN_ROWS = 3
+#: How many components of byte frequencies stand for the kind of writing.
+KINDS = 3
 #: How often the toxic dictionary repeats a telling part.
 PART_COPIES = 2
 #: Least log-likelihood ratio of a telling word part; chance alone reaches it once in 100,000 parts.
@@ -44,7 +50,15 @@ _WORDS = bytes.maketrans(bytes(range(128)), bytes(b if chr(b).isalpha() else 32
 
 def _grams(word: bytes) -> set[bytes]:
     w = b" " + word + b" "
-    return {w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))}
+    return {w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))} | {w[:n] for n in range(GRAM, min(len(w), LONGEST_PART + 1))}
+
+
+def _frequencies(rows: list[np.ndarray]) -> np.ndarray:
+    """Square roots of each text's byte frequencies, case folded."""
+    h = np.stack([np.bincount(r, minlength=256) / len(r) for r in rows])
+    h[:, 97:123] += h[:, 65:91]
+    h[:, 65:91] = 0
+    return np.sqrt(h)
 
 
 def _windows(b: np.ndarray) -> np.ndarray:
@@ -56,10 +70,11 @@ def _windows(b: np.ndarray) -> np.ndarray:
 
 
 class ToxicityModel:
-    """The two dictionaries' contents and the regression's weights; a few dozen kilobytes."""
+    """The two dictionaries' contents, the kinds' mean and axes and the regression's weights; a few dozen kilobytes."""
 
     def __init__(self, ordinary: bytes, toxic: bytes, weights: np.ndarray, prior: float) -> None:
         self.ordinary, self.toxic, self.weights, self.prior = ordinary, toxic, weights, prior
+        self.middle, self.axes = np.zeros(256), np.zeros((256, KINDS))
         self._made: list | None = None
 
     def __getstate__(self) -> dict:
@@ -112,7 +127,9 @@ class ToxicityModel:
         most = np.full(n, -99)
         np.maximum.at(most, own, d)
         mean = np.bincount(own, np.clip(d, -4, 4), minlength=n) / windows
-        return np.column_stack([np.log1p(counts), counts / windows[:, None], np.clip(most, -4, 12), mean, np.log(windows)])
+        x = np.column_stack([np.log1p(counts), counts / windows[:, None], np.clip(most, -4, 12), mean, np.log(windows)])
+        kind = (_frequencies(rows) - self.middle) @ self.axes
+        return np.column_stack([x, kind, *(x * k[:, None] for k in kind.T)])
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         if len(self.weights) == 0:
@@ -127,18 +144,21 @@ class ToxicityModel:
         (toxic_own, toxic_cal), (plain_own, plain_cal) = held(toxic), held(ordinary)
         if not toxic_own or not plain_own:
             return cls(b"", b"", np.empty(0), rate)
-        grams: dict[bytes, set[bytes]] = {}
-        words, seen, rows = (Counter(), Counter()), (Counter(), Counter()), (toxic_own, plain_own)
-        for k in (0, 1):
-            for text in rows[k]:
-                own = set(text.lower().translate(_WORDS).split())
-                words[k].update(own)
-                parts: set[bytes] = set()
-                for w in own:
-                    if w not in grams:
-                        grams[w] = _grams(w)
-                    parts |= grams[w]
-                seen[k].update(parts)
+        seen, words, grams = (Counter(), Counter()), Counter(), {}
+        split = lambda text: set(text.lower().translate(_WORDS).split())
+        for text in toxic_own:
+            own = split(text)
+            words.update(own)
+            seen[0].update(set().union(*map(_grams, own)))
+        # of ordinary rows only these parts matter, which bounds what is remembered of them
+        often = {g for g, n in seen[0].items() if n >= MIN_ROWS}
+        for text in plain_own:
+            parts: set[bytes] = set()
+            for w in split(text):
+                if w not in grams:
+                    grams[w] = tuple(_grams(w) & often)
+                parts.update(grams[w])
+            seen[1].update(parts)
         share = len(toxic_own) / (len(toxic_own) + len(plain_own))
 
         def evidence(g: bytes) -> float:
@@ -148,20 +168,23 @@ class ToxicityModel:
                 return 0.0
             return 2 * (x * log(x / (n * share)) + ((n - x) * log((n - x) / (n * (1 - share))) if n > x else 0.0))
 
-        rare = share / (1 - share) * MIN_RATIO
-        marked = {g: e for g, n in seen[0].items() if n >= MIN_ROWS and n >= rare * (seen[1][g] + 0.5) and (e := evidence(g)) >= MIN_EVIDENCE}
-        telling = sorted((-max(marked.get(g, 0.0) for g in grams[w]), -n, w) for w, n in words[0].items() if marked.keys() & grams[w])
+        marked = {g: e for g in often if (e := evidence(g)) >= MIN_EVIDENCE}
+        shown = {w: own for w in words if (own := _grams(w) & marked.keys())}
+        telling = sorted((-max(marked[g] for g in own), -words[w], w) for w, own in shown.items())
         # each telling part a few times, in the words that show it best
         held_parts: Counter = Counter()
         chosen = []
         for _, _, w in telling:
-            own = marked.keys() & grams[w]
-            if min(held_parts[g] for g in own) < PART_COPIES:
-                held_parts.update(own)
+            if min(held_parts[g] for g in shown[w]) < PART_COPIES:
+                held_parts.update(shown[w])
                 chosen.append(w)
         base = cls._base([t.lower() for t in plain_own])
         # the common text stands last, at equal distances in both
         model = cls(base, (b" " + b" ".join(chosen))[:OWN_BYTES] + b" " + base, np.empty(0), rate)
+        seen_rows = _frequencies([np.frombuffer(t, np.uint8) for t in (*toxic_own, *plain_own)])
+        model.middle = seen_rows.mean(axis=0)
+        values, vectors = np.linalg.eigh(np.cov(seen_rows.T, bias=True))
+        model.axes = vectors[:, np.argsort(-values)[:KINDS]] * 10
         texts = [np.frombuffer(t, np.uint8) for t in (*toxic_cal, *plain_cal)]
         y = np.array([1.0] * len(toxic_cal) + [0.0] * len(plain_cal))
         weight = np.where(y == 1, rate / max(1, len(toxic_cal)), (1 - rate) / max(1, len(plain_cal))) * len(y)

@@ -259,6 +259,25 @@ def test_toxicity_on_planted_words(spark):
     assert {r.score for r in toxicity.score(odd_docs(spark), blank).collect()} == {0.0}
 
 
+def test_toxicity_learns_parts_that_tell_in_the_smaller_language_only():
+    """Toxic words of the second language share their beginning with ordinary words of it, so that no part is 20 times as frequent."""
+    rng = random.Random(3)
+
+    def text(parts, toxic, own, odd):
+        w = ["".join(rng.choices(parts, k=rng.randrange(1, 5))) for _ in range(rng.randrange(40, 120))]
+        for _ in range(6 * toxic or int(rng.random() < odd)):
+            w.insert(rng.randrange(len(w)), rng.choice(own) + rng.choice(parts))
+        return " ".join(w).encode()
+
+    english = lambda y: text(["er", "an", "th", "on", "in", "ed", "st"], y, ["moron", "scumbag"], 0)
+    other = lambda y: text(["ül", "zu", "ge", "ö", "pf", "kei", "ß"], y, ["achlich"], 0.3)
+    toxic = [(english if i % 4 else other)(True) for i in range(400)]
+    plain = [(english if i % 4 else other)(False) for i in range(2400)]
+    model = toxicity.ToxicityModel.train(toxic, plain, 1 / 7)
+    scores = lambda y: model.scores([np.frombuffer(other(y), np.uint8) for _ in range(100)])
+    assert (scores(True) >= toxicity.CUTOFF).mean() >= 0.8 and (scores(False) >= toxicity.CUTOFF).mean() <= 0.1
+
+
 def test_pipeline_stages_keep_columns_and_only_drop(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     was = {r.doc_id for r in docs.collect()}
