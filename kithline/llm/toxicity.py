@@ -1,10 +1,11 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained from a bounded sample of labelled rows:
-both hold the same ordinary text, one ends with ordinary words and the other with
-words that occur in toxic rows far more often than in ordinary ones. A text is cut
-at white space into windows of some WINDOW bytes; each is compressed with either
-dictionary, and the bytes that the toxic one saves are counted over several
+Two zstandard dictionaries are trained from a bounded sample of labelled rows, one on
+ordinary and one on toxic text. A third is the ordinary one behind a list of words
+whose parts occur in toxic rows more often than chance allows, since telling words
+are too rare in toxic text for the trainer to keep them all. A text is cut at white
+space into windows of some WINDOW bytes; each is compressed with every dictionary,
+and the bytes that the toxic and the listed one save are counted over several
 thresholds. A logistic regression fitted on sample rows that the dictionaries
 have not seen turns these counts into a probability. It weighs them by the text's
 kind of writing too (a few components of its byte frequencies), as a part that tells
@@ -15,7 +16,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from heapq import nsmallest
+from itertools import pairwise
 from math import log
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +33,8 @@ TOXIC_ROWS, ORDINARY_ROWS = 2000, 3000
 WINDOW = 48
 THRESHOLDS = (1, 2, 3, 4, 6)
 BASE_BYTES, OWN_BYTES = 24 << 10, 24 << 10
+#: A dictionary is trained on at most so many windows (about 1 MB), from all rows: those of the least checksum of their row up to their end.
+PIECES = 20000
 GRAM = 5
 #: Beginnings of words up to this length are parts as well.
 LONGEST_PART = 15
@@ -70,10 +76,10 @@ def _windows(b: np.ndarray) -> np.ndarray:
 
 
 class ToxicityModel:
-    """The two dictionaries' contents, the kinds' mean and axes and the regression's weights; a few dozen kilobytes."""
+    """The dictionaries' contents, the kinds' mean and axes and the regression's weights; a few dozen kilobytes."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, weights: np.ndarray, prior: float) -> None:
-        self.ordinary, self.toxic, self.weights, self.prior = ordinary, toxic, weights, prior
+    def __init__(self, ordinary: bytes, toxic: bytes, listed: bytes, weights: np.ndarray, prior: float) -> None:
+        self.ordinary, self.toxic, self.listed, self.weights, self.prior = ordinary, toxic, listed, weights, prior
         self.middle, self.axes = np.zeros(256), np.zeros((256, KINDS))
         self._made: list | None = None
 
@@ -89,14 +95,14 @@ class ToxicityModel:
                 write_content_size=0, write_checksum=0, write_dict_id=0,
             )
             self._made = []
-            for content in (self.ordinary, self.toxic):
+            for content in (self.ordinary, self.listed, self.toxic):
                 d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=params)
                 self._made.append(z.ZstdCompressor(compression_params=params, dict_data=d))
         return self._made
 
     def saved(self, data: bytes, segments: np.ndarray) -> np.ndarray:
-        """Bytes that the toxic dictionary saves on each of the segments (offset, length) that data consists of."""
+        """Bytes that the listed and the toxic dictionary save on each of the segments (offset, length) that data consists of."""
         import zstandard as z
 
         # blanks behind each window keep zstandard from storing short ones as they are
@@ -109,7 +115,7 @@ class ToxicityModel:
         for c in self._compressors():
             out = c.multi_compress_to_buffer(z.BufferWithSegments(buffer.tobytes(), padded.tobytes()), threads=0)
             lengths.append(np.fromiter((len(out[i]) for i in range(len(out))), np.int64, len(out)))
-        return lengths[0] - lengths[1]
+        return np.stack([lengths[0] - other for other in lengths[1:]])
 
     def features(self, rows: list[np.ndarray]) -> np.ndarray:
         """A row of counts for each text, which must not be empty."""
@@ -120,16 +126,20 @@ class ToxicityModel:
             owner.append(np.full(len(starts), i))
             data.append(r)
             base += len(r)
-        d = self.saved(np.concatenate(data).tobytes().lower(), np.concatenate(segments).astype(np.uint64))
+        saved = self.saved(np.concatenate(data).tobytes().lower(), np.concatenate(segments).astype(np.uint64))
         own, n = np.concatenate(owner), len(rows)
         windows = np.bincount(own, minlength=n)
-        counts = np.stack([np.bincount(own, d >= k, minlength=n) for k in THRESHOLDS], axis=1)
-        most = np.full(n, -99)
-        np.maximum.at(most, own, d)
-        mean = np.bincount(own, np.clip(d, -4, 4), minlength=n) / windows
-        x = np.column_stack([np.log1p(counts), counts / windows[:, None], np.clip(most, -4, 12), mean, np.log(windows)])
+
+        def counted(d: np.ndarray) -> list[np.ndarray]:
+            counts = np.stack([np.bincount(own, d >= k, minlength=n) for k in THRESHOLDS], axis=1)
+            most = np.full(n, -99)
+            np.maximum.at(most, own, d)
+            mean = np.bincount(own, np.clip(d, -4, 4), minlength=n) / windows
+            return [np.log1p(counts), counts / windows[:, None], np.clip(most, -4, 12), mean]
+
+        x = np.column_stack([*counted(saved[0]), np.log(windows)])
         kind = (_frequencies(rows) - self.middle) @ self.axes
-        return np.column_stack([x, kind, *(x * k[:, None] for k in kind.T)])
+        return np.column_stack([x, kind, *(x * k[:, None] for k in kind.T), *counted(saved[1])])
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         if len(self.weights) == 0:
@@ -143,7 +153,7 @@ class ToxicityModel:
         held = lambda rows: ([r for i, r in enumerate(rows) if i % 3], rows[::3])
         (toxic_own, toxic_cal), (plain_own, plain_cal) = held(toxic), held(ordinary)
         if not toxic_own or not plain_own:
-            return cls(b"", b"", np.empty(0), rate)
+            return cls(b"", b"", b"", np.empty(0), rate)
         seen, words, grams = (Counter(), Counter()), Counter(), {}
         split = lambda text: set(text.lower().translate(_WORDS).split())
         for text in toxic_own:
@@ -178,9 +188,10 @@ class ToxicityModel:
             if min(held_parts[g] for g in shown[w]) < PART_COPIES:
                 held_parts.update(shown[w])
                 chosen.append(w)
-        base = cls._base([t.lower() for t in plain_own])
+        base = cls._trained([t.lower() for t in plain_own])
         # the common text stands last, at equal distances in both
-        model = cls(base, (b" " + b" ".join(chosen))[:OWN_BYTES] + b" " + base, np.empty(0), rate)
+        listed = (b" " + b" ".join(chosen))[:OWN_BYTES] + b" " + base
+        model = cls(base, cls._trained([t.lower() for t in toxic_own]), listed, np.empty(0), rate)
         seen_rows = _frequencies([np.frombuffer(t, np.uint8) for t in (*toxic_own, *plain_own)])
         model.middle = seen_rows.mean(axis=0)
         values, vectors = np.linalg.eigh(np.cov(seen_rows.T, bias=True))
@@ -192,12 +203,21 @@ class ToxicityModel:
         return model
 
     @staticmethod
-    def _base(texts: list[bytes]) -> bytes:
+    def _trained(texts: list[bytes]) -> bytes:
+        """The content of a dictionary trained on all windows of the texts or, beyond PIECES, on a sample of these."""
         import zstandard as z
 
-        pieces = [t[a:b] for t in texts for s in [[*_windows(np.frombuffer(t, np.uint8)), len(t)]] for a, b in zip(s[:-1:4], s[1::4], strict=False)]
+
+        def windows() -> Iterator[tuple[int, bytes]]:
+            for t in texts:
+                sum_so_far = 0
+                for a, b in pairwise([*_windows(np.frombuffer(t, np.uint8)), len(t)]):
+                    sum_so_far = crc32(t[a:b], sum_so_far)
+                    yield sum_so_far, t[a:b]
+
+        pieces = [p for _, p in nsmallest(PIECES, windows())]
         try:
-            trained = z.train_dictionary(BASE_BYTES, pieces[:20000], k=64, d=8).as_bytes()
+            trained = z.train_dictionary(BASE_BYTES, pieces, k=64, d=8).as_bytes()
             return trained[len(trained) // 16 :]
         except z.ZstdError:  # too few samples to choose from
             return b" ".join(pieces)[:BASE_BYTES]

@@ -278,6 +278,23 @@ def test_toxicity_learns_parts_that_tell_in_the_smaller_language_only():
     assert (scores(True) >= toxicity.CUTOFF).mean() >= 0.8 and (scores(False) >= toxicity.CUTOFF).mean() <= 0.1
 
 
+def test_toxicity_learns_from_toxic_text_itself(monkeypatch):
+    """Toxic rows differ by a phrase of digits, which no list of words holds; the last rows count as much as the first."""
+    rng = random.Random(4)
+    text = lambda y: " ".join(str(rng.randrange(10**6)) for _ in range(60)) + " 4718 2295 6031 8854 1907 3346 " * 3 * y
+    toxic, plain = ([text(y).encode() for _ in range(n)] for y, n in ((1, 400), (0, 1600)))
+    model = toxicity.ToxicityModel.train(toxic, plain, 0.2)
+    scores = lambda y: model.scores([np.frombuffer(text(y).encode(), np.uint8) for _ in range(100)])
+    assert (scores(1) >= toxicity.CUTOFF).mean() >= 0.8 and (scores(0) >= toxicity.CUTOFF).mean() <= 0.1
+    import zstandard
+
+    drawn, made = [], zstandard.train_dictionary
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, pieces, **k: drawn.extend(pieces) or made(size, pieces, **k))
+    toxicity.ToxicityModel._trained([text(0).encode() for _ in range(4000)] + [b"%d " % i + b"late row of letters " * 20 for i in range(1000)])
+    share = sum(b"late" in p for p in drawn) / len(drawn)
+    assert len(drawn) == toxicity.PIECES and 0.1 <= share <= 0.3
+
+
 def test_pipeline_stages_keep_columns_and_only_drop(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     was = {r.doc_id for r in docs.collect()}
