@@ -127,14 +127,27 @@ def dense_topk(vectors: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     return top_k(found, "emb", k, "emb_rank")
 
 
-def block(recs: DataFrame, max_df: float = 0.01, k: int = 8, dense: DataFrame | None = None) -> DataFrame:
-    """Candidate pairs of the TF-IDF search and, if given, of a dense one, scored and ranked by tfidf."""
+def encoded(recs: DataFrame) -> DataFrame:
+    """Adds emb_name and emb_addr of the default encoder."""
+    return recs.withColumns({"emb_name": hashed_vector(F.col("name_n")), "emb_addr": hashed_vector(F.col("addr_n"))})
+
+
+def block(recs: DataFrame, max_df: float = 0.01, k: int = 8, vectors: DataFrame | None = None, emb_k: int = 5) -> DataFrame:
+    """Candidate pairs of the TF-IDF search and, if vectors are given, of the dense one.
+
+    Every pair has tfidf (0 for pairs without a common token) and its rank; with vectors
+    (entity_id, src, country, emb_name, emb_addr) emb and emb_rank too, whichever search found it.
+    """
     weights = tfidf(recs, F.col("tokens"), max_df)
+    ranked = lambda df, score, rank: df.withColumn(rank, F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round(score, 9)), "s1")))
     pairs = sparse_topk(weights, k).select("q", "s1")
-    if dense is not None:
-        pairs = pairs.union(dense.select("q", "s1")).distinct()
-    scored = pair_dot(pairs, weights, "tfidf")
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("tfidf", 9)), "s1")))
+    if vectors is None:
+        return ranked(pair_dot(pairs, weights, "tfidf"), "tfidf", "rank")
+    pairs = pairs.union(dense_topk(vectors, emb_k).select("q", "s1")).distinct()
+    side = lambda p: vectors.select(F.col("entity_id").alias(p), F.col("emb_name").alias(f"_{p}_n"), F.col("emb_addr").alias(f"_{p}_a"))
+    both = pair_dot(pairs, weights, "tfidf").join(side("q"), "q").join(side("s1"), "s1")
+    scored = both.withColumn("emb", combined_cosine(*(F.col(c) for c in ("_q_n", "_q_a", "_s1_n", "_s1_a")))).select("q", "s1", "tfidf", "emb")
+    return ranked(ranked(scored, "tfidf", "rank"), "emb", "emb_rank")
 
 
 def same_name(recs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -162,3 +162,16 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def blocked(spark):
+    rows = [(1, 1, "x", "alpha beta", "road 1"), (4, 1, "x", "gamma delta", "lane 2"), (2, 2, "x", "alpha beta", "road 1"), (3, 3, "x", "alphas betas", "roads 17")]
+    raw = spark.createDataFrame(rows, "entity_id long, src int, country string, business_name string, business_address string")
+    recs = similarity.encoded(similarity.bag(similarity.core_names(similarity.records(raw), 1.0)))
+    return recs, similarity.block(recs, 1.0, 1, vectors=recs, emb_k=2)
+
+
+def test_block_holds_pairs_of_the_dense_search_with_both_scores(spark):
+    got = {(r.q, r.s1): r for r in blocked(spark)[1].collect()}
+    assert set(got) == {(2, 1), (2, 4), (3, 1), (3, 4)} and got[2, 4].tfidf < got[2, 1].tfidf
+    assert (got[2, 1].rank, got[2, 1].emb_rank, got[2, 4].rank, got[2, 4].emb_rank) == (1, 1, 2, 2) and abs(got[2, 1].emb - 1) < 1e-5
