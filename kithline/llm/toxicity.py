@@ -1,24 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained from a bounded sample of labelled rows, one on
-ordinary and one on toxic text. A third is the ordinary one behind a list of words
-whose parts occur in toxic rows more often than chance allows, since telling words
-are too rare in toxic text for the trainer to keep them all. A text is cut at white
-space into windows of some WINDOW bytes; each is compressed with every dictionary,
-and the bytes that the toxic and the listed one save are counted over several
-thresholds. A logistic regression fitted on sample rows that the dictionaries
-have not seen turns these counts into a probability. It weighs them by the text's
-kind of writing too (a few components of its byte frequencies), as a part that tells
-in one language is ordinary in another.
+Several pairs of zstandard dictionaries are trained from a bounded sample of labelled
+rows, each pair on another three quarters of it: one dictionary on ordinary and one on
+toxic text, both ending with the same larger dictionary of ordinary text, so that what
+is common to all writing costs alike in both. A text is cut at white space into windows
+of some WINDOW bytes; each is compressed with every dictionary, and the bytes by which
+its toxic dictionaries beat its ordinary ones are summed over the pairs, which evens out
+what one trainer's choice of segments does by chance. Windows are counted over several
+thresholds, and a logistic regression fitted on sample rows that no dictionary has seen
+turns these counts into a probability. It weighs them by the text's kind of writing too
+(a few components of its byte frequencies), as kinds of writing compress differently.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from heapq import nsmallest
 from itertools import pairwise
-from math import log
 from zlib import crc32
 
 import numpy as np
@@ -28,35 +26,25 @@ from pyspark.sql import functions as F
 from . import common
 from .shingles import binary_rows
 
-#: The labelled rows that training takes at most: those of the least hash.
-TOXIC_ROWS, ORDINARY_ROWS = 2000, 3000
-WINDOW = 48
-THRESHOLDS = (1, 2, 3, 4, 6)
-BASE_BYTES, OWN_BYTES = 24 << 10, 24 << 10
+#: The labelled rows that training takes at most: those of the least hash, and none whose text has over TEXT_BYTES.
+TOXIC_ROWS, ORDINARY_ROWS, TEXT_BYTES = 2000, 3000, 32 << 10
+WINDOW = 24
+#: Pairs of dictionaries, and the bytes of a dictionary's own part and of the ordinary part that a pair shares.
+PAIRS, OWN_BYTES, BASE_BYTES = 4, 2 << 10, 16 << 10
+#: Thresholds of the bytes saved, summed over all pairs.
+SAVED, LOST = (1, 2, 3, 4, 6, 8, 10, 12), (1, 2, 4)
 #: A dictionary is trained on at most so many windows (about 1 MB), from all rows: those of the least checksum of their row up to their end.
-PIECES = 20000
-GRAM = 5
-#: Beginnings of words up to this length are parts as well.
-LONGEST_PART = 15
+PIECES = 40000
 PAD = 48
-#: In how many toxic rows a telling word part must occur.
-MIN_ROWS = 3
 #: How many components of byte frequencies stand for the kind of writing.
 KINDS = 3
-#: How often the toxic dictionary repeats a telling part.
-PART_COPIES = 2
-#: Least log-likelihood ratio of a telling word part; chance alone reaches it once in 100,000 parts.
-MIN_EVIDENCE = 20.0
+RIDGE = 3.0
 CUTOFF = 0.3
 STEP_BYTES = 1 << 20
 _SEP = np.zeros(256, bool)
 _SEP[list(b" \t\n\r\x0b\x0c")] = True
-_WORDS = bytes.maketrans(bytes(range(128)), bytes(b if chr(b).isalpha() else 32 for b in range(128)))
-
-
-def _grams(word: bytes) -> set[bytes]:
-    w = b" " + word + b" "
-    return {w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))} | {w[:n] for n in range(GRAM, min(len(w), LONGEST_PART + 1))}
+#: Fixed value: the repeat offsets that end a trained dictionary's header; its content follows.
+_HEADER_END = bytes.fromhex("010000000400000008000000")
 
 
 def _frequencies(rows: list[np.ndarray]) -> np.ndarray:
@@ -76,10 +64,10 @@ def _windows(b: np.ndarray) -> np.ndarray:
 
 
 class ToxicityModel:
-    """The dictionaries' contents, the kinds' mean and axes and the regression's weights; a few dozen kilobytes."""
+    """The dictionaries' contents by pair, the kinds' mean and axes and the regression's weights; about 150 kilobytes."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, listed: bytes, weights: np.ndarray, prior: float) -> None:
-        self.ordinary, self.toxic, self.listed, self.weights, self.prior = ordinary, toxic, listed, weights, prior
+    def __init__(self, pairs: list[tuple[bytes, bytes]], weights: np.ndarray, prior: float) -> None:
+        self.pairs, self.weights, self.prior = pairs, weights, prior
         self.middle, self.axes = np.zeros(256), np.zeros((256, KINDS))
         self._made: list | None = None
 
@@ -91,18 +79,20 @@ class ToxicityModel:
             import zstandard as z
 
             params = z.ZstdCompressionParameters(
-                window_log=17, chain_log=15, hash_log=15, search_log=4, min_match=4, strategy=z.STRATEGY_LAZY2,
+                window_log=17, chain_log=15, hash_log=15, search_log=3, min_match=4, strategy=z.STRATEGY_GREEDY,
                 write_content_size=0, write_checksum=0, write_dict_id=0,
             )
-            self._made = []
-            for content in (self.ordinary, self.listed, self.toxic):
+
+            def compressor(content: bytes):
                 d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=params)
-                self._made.append(z.ZstdCompressor(compression_params=params, dict_data=d))
+                return z.ZstdCompressor(compression_params=params, dict_data=d)
+
+            self._made = [tuple(map(compressor, pair)) for pair in self.pairs]
         return self._made
 
     def saved(self, data: bytes, segments: np.ndarray) -> np.ndarray:
-        """Bytes that the listed and the toxic dictionary save on each of the segments (offset, length) that data consists of."""
+        """Bytes that the toxic dictionaries save over the ordinary ones on each of the segments (offset, length) that data consists of."""
         import zstandard as z
 
         # blanks behind each window keep zstandard from storing short ones as they are
@@ -111,11 +101,12 @@ class ToxicityModel:
         shift = np.repeat(np.arange(len(n)) * PAD, n)
         buffer[np.arange(len(shift)) + shift] = np.frombuffer(data, np.uint8)
         padded = np.stack([segments[:, 0].astype(np.int64) + np.arange(len(n)) * PAD, n + PAD], axis=1).astype(np.uint64)
-        lengths = []
-        for c in self._compressors():
-            out = c.multi_compress_to_buffer(z.BufferWithSegments(buffer.tobytes(), padded.tobytes()), threads=0)
-            lengths.append(np.fromiter((len(out[i]) for i in range(len(out))), np.int64, len(out)))
-        return np.stack([lengths[0] - other for other in lengths[1:]])
+        raw, at, total = buffer.tobytes(), padded.tobytes(), np.zeros(len(n), np.int64)
+        for pair in self._compressors():
+            for sign, c in zip((1, -1), pair, strict=True):
+                out = c.multi_compress_to_buffer(z.BufferWithSegments(raw, at), threads=0)
+                total += sign * np.fromiter((len(out[i]) for i in range(len(out))), np.int64, len(out))
+        return total
 
     def features(self, rows: list[np.ndarray]) -> np.ndarray:
         """A row of counts for each text, which must not be empty."""
@@ -128,18 +119,15 @@ class ToxicityModel:
             base += len(r)
         saved = self.saved(np.concatenate(data).tobytes().lower(), np.concatenate(segments).astype(np.uint64))
         own, n = np.concatenate(owner), len(rows)
-        windows = np.bincount(own, minlength=n)
-
-        def counted(d: np.ndarray) -> list[np.ndarray]:
-            counts = np.stack([np.bincount(own, d >= k, minlength=n) for k in THRESHOLDS], axis=1)
-            most = np.full(n, -99)
-            np.maximum.at(most, own, d)
-            mean = np.bincount(own, np.clip(d, -4, 4), minlength=n) / windows
-            return [np.log1p(counts), counts / windows[:, None], np.clip(most, -4, 12), mean]
-
-        x = np.column_stack([*counted(saved[0]), np.log(windows)])
+        windows, pairs = np.bincount(own, minlength=n), len(self.pairs)
+        counts = np.stack([np.bincount(own, saved >= k, minlength=n) for k in SAVED], axis=1)
+        lost = np.stack([np.bincount(own, saved <= -k, minlength=n) for k in LOST], axis=1)
+        most = np.full(n, -99)
+        np.maximum.at(most, own, saved)
+        mean = np.bincount(own, np.clip(saved, -4 * pairs, 4 * pairs), minlength=n) / windows
+        x = np.column_stack([np.log(windows), np.log1p(counts), counts / windows[:, None], lost / windows[:, None], np.clip(most, -4, 12 * pairs), mean])
         kind = (_frequencies(rows) - self.middle) @ self.axes
-        return np.column_stack([x, kind, *(x * k[:, None] for k in kind.T), *counted(saved[1])])
+        return np.column_stack([x, kind, *(x * k[:, None] for k in kind.T)])
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         if len(self.weights) == 0:
@@ -153,45 +141,14 @@ class ToxicityModel:
         held = lambda rows: ([r for i, r in enumerate(rows) if i % 3], rows[::3])
         (toxic_own, toxic_cal), (plain_own, plain_cal) = held(toxic), held(ordinary)
         if not toxic_own or not plain_own:
-            return cls(b"", b"", b"", np.empty(0), rate)
-        seen, words, grams = (Counter(), Counter()), Counter(), {}
-        split = lambda text: set(text.lower().translate(_WORDS).split())
-        for text in toxic_own:
-            own = split(text)
-            words.update(own)
-            seen[0].update(set().union(*map(_grams, own)))
-        # of ordinary rows only these parts matter, which bounds what is remembered of them
-        often = {g for g, n in seen[0].items() if n >= MIN_ROWS}
-        for text in plain_own:
-            parts: set[bytes] = set()
-            for w in split(text):
-                if w not in grams:
-                    grams[w] = tuple(_grams(w) & often)
-                parts.update(grams[w])
-            seen[1].update(parts)
-        share = len(toxic_own) / (len(toxic_own) + len(plain_own))
-
-        def evidence(g: bytes) -> float:
-            """Log-likelihood ratio of a word part that is more frequent in toxic rows; else 0."""
-            x, n = seen[0][g], seen[0][g] + seen[1][g]
-            if x <= n * share:
-                return 0.0
-            return 2 * (x * log(x / (n * share)) + ((n - x) * log((n - x) / (n * (1 - share))) if n > x else 0.0))
-
-        marked = {g: e for g in often if (e := evidence(g)) >= MIN_EVIDENCE}
-        shown = {w: own for w in words if (own := _grams(w) & marked.keys())}
-        telling = sorted((-max(marked[g] for g in own), -words[w], w) for w, own in shown.items())
-        # each telling part a few times, in the words that show it best
-        held_parts: Counter = Counter()
-        chosen = []
-        for _, _, w in telling:
-            if min(held_parts[g] for g in shown[w]) < PART_COPIES:
-                held_parts.update(shown[w])
-                chosen.append(w)
-        base = cls._trained([t.lower() for t in plain_own])
-        # the common text stands last, at equal distances in both
-        listed = (b" " + b" ".join(chosen))[:OWN_BYTES] + b" " + base
-        model = cls(base, cls._trained([t.lower() for t in toxic_own]), listed, np.empty(0), rate)
+            return cls([], np.empty(0), rate)
+        pairs = []
+        for pair in range(PAIRS):
+            # each row is left out of one pair, unless there are too few to leave any out
+            part = lambda rows, p=pair: [r.lower() for i, r in enumerate(rows) if i % PAIRS != p] or [r.lower() for r in rows]
+            base, ordinary_part = cls._trained(part(plain_own), (BASE_BYTES, OWN_BYTES))
+            pairs.append((ordinary_part + base, cls._trained(part(toxic_own))[0] + base))
+        model = cls(pairs, np.empty(0), rate)
         seen_rows = _frequencies([np.frombuffer(t, np.uint8) for t in (*toxic_own, *plain_own)])
         model.middle = seen_rows.mean(axis=0)
         values, vectors = np.linalg.eigh(np.cov(seen_rows.T, bias=True))
@@ -203,11 +160,10 @@ class ToxicityModel:
         return model
 
     @staticmethod
-    def _trained(texts: list[bytes]) -> bytes:
-        """The content of a dictionary trained on all windows of the texts or, beyond PIECES, on a sample of these."""
+    def _trained(texts: list[bytes], sizes: tuple[int, ...] = (OWN_BYTES,)) -> list[bytes]:
+        """The contents of dictionaries trained on all windows of the texts or, beyond PIECES, on a sample of these."""
         import zstandard as z
 
-
         def windows() -> Iterator[tuple[int, bytes]]:
             for t in texts:
                 sum_so_far = 0
@@ -216,14 +172,18 @@ class ToxicityModel:
                     yield sum_so_far, t[a:b]
 
         pieces = [p for _, p in nsmallest(PIECES, windows())]
-        try:
-            trained = z.train_dictionary(BASE_BYTES, pieces, k=64, d=8).as_bytes()
-            return trained[len(trained) // 16 :]
-        except z.ZstdError:  # too few samples to choose from
-            return b" ".join(pieces)[:BASE_BYTES]
+
+        def content(size: int) -> bytes:
+            try:
+                trained = z.train_dictionary(size, pieces, k=12, d=8).as_bytes()
+            except z.ZstdError:  # too few samples to choose from
+                return b" ".join(pieces)[:size]
+            return trained[trained.find(_HEADER_END) + len(_HEADER_END) :]
+
+        return [content(size) for size in sizes]
 
 
-def _regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     """Weighted logistic regression by Newton's method; the intercept comes first."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
@@ -242,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
     """Trains on rows of docs (doc_id, text) that labels (doc_id, toxic) marks.
 
     At most toxic_rows and ordinary_rows of them, by the hash of their id, come to the driver,
-    with whole texts. Ids that are labelled twice are toxic if any label says so; null
+    with whole texts; of these, texts of over TEXT_BYTES are left out, which bounds the sample. Ids that are labelled twice are toxic if any label says so; null
     labels, ids and texts are left out. Without rows of both kinds every score is the
     share of toxic labels (0 without labels).
     """
@@ -251,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
     rate = n.get(True, 0) / max(1, sum(n.values()))
     ordered = marked.orderBy(F.xxhash64("_id"), "_id")
     picked = ordered.where("_toxic > 0").limit(toxic_rows).union(ordered.where("_toxic <= 0").limit(ordinary_rows))
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("text"))
+    texts = docs.where(F.octet_length("text") <= TEXT_BYTES).select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("text"))
     got = texts.join(F.broadcast(picked), "_id").groupBy("_id").agg(F.max("_toxic").alias("_toxic"), F.min("text").alias("text"))
     kinds: dict[bool, list[bytes]] = {True: [], False: []}
     for _, toxic, text in sorted(got.select("_id", "_toxic", "text").toLocalIterator(), key=lambda r: r[0]):
@@ -295,7 +255,11 @@ def score(docs: DataFrame, model: ToxicityModel, cutoff: float = CUTOFF) -> Data
 
 
 def ordinary(docs: DataFrame, model: ToxicityModel, cutoff: float = CUTOFF) -> DataFrame:
-    """docs without the rows that score cutoff or more; all columns stay."""
+    """docs without the rows that score cutoff or more; all columns stay, whatever their names.
+
+    Null and empty texts score 0 and stay. Repeated rows and null ids are judged each by their
+    text. An empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
@@ -309,6 +273,7 @@ def ordinary(docs: DataFrame, model: ToxicityModel, cutoff: float = CUTOFF) -> D
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's toxicity, learnt from the labels of rows that are not held out."""
     docs, labels = (common.text_sources(spark, sf_dir, t) for t in ("documents", "labels"))
     model = fit(docs, labels.where(~common.held_out(F.col("doc_id"))))
     return score(docs, model).select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
