@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key is hot that more than HOT_ROWS rows carry, or more than a MOST_HOT-th of all rows; so at most MOST_HOT keys are hot.
+HOT_ROWS, MOST_HOT = 1024, 250_000
+
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
@@ -50,3 +54,32 @@ def among_least(h: Column, n: Column | int, rows: int) -> Column:
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows
+
+
+def hot_bound(groups: DataFrame, size: str) -> int | None:
+    """From how many rows on a key is hot, by the sizes of all groups; None if none is."""
+    total, most = groups.agg(F.sum(size), F.max(size)).first()
+    bound = max(HOT_ROWS, math.ceil((total or 0) / MOST_HOT))
+    return bound if (most or 0) > bound else None
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """rows joined with groups (one row a key; `size` is how many rows carry it) without a task for a hot key.
+
+    Groups of hot keys, at most MOST_HOT by the definition of hot_bound, are broadcast, so
+    their rows stay where they are; all others meet by a shuffle. groups is read twice.
+    """
+    bound = hot_bound(groups, size)
+    if bound is None:
+        return rows.join(groups, key, how)
+    hot = groups.where(F.col(size) > bound)
+    calm = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(size) <= bound), key, how)
+    return calm.unionByName(rows.join(F.broadcast(hot), key))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as no column of df begins with, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

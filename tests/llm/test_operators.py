@@ -337,3 +337,55 @@ def test_least_hashes_are_among_those_that_pass(spark):
     passed = rows.where(common.among_least(F.col("h"), 20000, 300))
     assert least(passed) == least(rows) and passed.count() < 1600
     assert rows.limit(1000).where(common.among_least(F.col("h"), 1000, 300)).count() == 1000
+
+
+def near_copies(n, seed=6):
+    """A text of 100 words and n variants of it, each with one other word in place (similarity about 0.94)."""
+    rng = random.Random(seed)
+    words = [f"v{seed}x{rng.randrange(10**6)}" for _ in range(100)]
+    return " ".join(words), [" ".join([*words[:k], f"new{k}", *words[k + 1 :]]) for k in range(n)]
+
+
+def test_near_duplicates_are_rows_not_ids(spark):
+    a, c = (near_copies(0, s)[0] for s in (1, 2))
+    rows = [(1, a, "x"), (1, a, "y"), (2, a, "z"), (2, c, "w"), (None, a, "n"), (None, c + " more", "n"), (9, None, "e"), (9, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string").withColumns({"_nd_text": F.lit(1), "_ND_ID": F.lit(2), "text_key": F.lit(3), "component_id": F.lit(4)})
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.where("text is not null").collect()) == [(1, a), (2, c)] and kept.where("text is null").count() == 2
+    alone = near_dedup.keep_one(docs.where("doc_id is null or text is null")).collect()
+    assert sorted(r.text for r in alone if r.text) == sorted([a, c + " more"])
+
+
+def test_near_copies_of_a_repeated_ids_second_text_are_linked(spark):
+    (a, _), (b, copies) = near_copies(0, 3), near_copies(60)
+    rows = [(1, a), (1, b), *((10 + k, t) for k, t in enumerate(copies)), *((100 + k, a) for k in range(100))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.link(docs).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {1}
+    assert sorted(r.text for r in near_dedup.keep_one(docs).collect()) == sorted([a, b])
+
+
+def test_near_duplicates_with_hot_keys_and_repeated_ids_against_all_pairs(spark, monkeypatch):
+    """Every bound so low that all paths for hot keys and blocks are taken."""
+    for module, name, value in ((common, "HOT_ROWS", 3), (near_dedup, "STAR_ROWS", 4), (near_dedup, "MOST_PARTS", 3), (near_dedup, "GROUP_BLOCK", 5), (near_dedup, "HOT_SAMPLE", 1), (near_dedup, "HOT_SEEN", 4), (near_dedup, "BROADCAST_IDS", 2)):
+        monkeypatch.setattr(module, name, value)
+    rng, texts = random.Random(12), []
+    for _ in range(5):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([30, 90]))]
+        for _ in range(24):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(999)}"  # a chain: each differs in one word from the one before
+            texts += [" ".join(words)] * rng.choice([1, 1, 3])
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.link(docs).collect()}
+    assert got == brute_components(rows, 3, 85)
+    # ids that repeat over different texts: components as before, each called by its smallest id
+    few = [(i % 40, t) for i, t in rows]
+    want = brute_components(rows, 3, 85)
+    least = {}
+    for i, (_, c) in want.items():
+        least[c] = min(least.get(c, i % 40), i % 40)
+    again = near_dedup.link(spark.createDataFrame(few, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in again) == sorted((i % 40, want[i][0], least[want[i][1]]) for i, _ in rows)
+    assert near_dedup.keep_one(spark.createDataFrame(few, "doc_id long, text string")).count() == len(least)
