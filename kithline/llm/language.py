@@ -20,16 +20,16 @@ from pyspark.sql import functions as F
 from . import common
 from .shingles import WordHasher, binary_rows, mix
 
-#: Labelled rows a language is learnt from at most, and the bytes of each that count towards the bound.
-ROWS_PER_LANGUAGE = 400
+#: Labelled rows a language is learnt from at most, none of them of over TEXT_BYTES.
+ROWS_PER_LANGUAGE, TEXT_BYTES = 400, 64 << 10
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 SWITCH_PENALTY = 8.0
 #: Largest cost of one word, so that a single odd word does not outweigh its surroundings.
 WORD_LIMIT = 6.0
 MIN_SHARE = 0.02
-#: Bytes of text that are labelled at once.
-STEP_BYTES = 1 << 21
+#: Bytes of text that are gathered before they are labelled, and costs (words times languages) that are held at once.
+STEP_BYTES, STEP_COSTS = 1 << 21, 1 << 22
 #: New words that are scored at once; each takes about a kilobyte meanwhile.
 SCORED_WORDS = 8192
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalpha())
@@ -124,84 +124,158 @@ class LanguageModel:
 
 
 class Labeller:
-    """Labels the words of texts; remembers the scores of words it has met, up to a bound."""
+    """Labels the words of texts; remembers the scores of words it has met, up to a bound.
 
-    def __init__(self, model: LanguageModel, penalty: float = SWITCH_PENALTY, remember: int = 1_000_000) -> None:
-        self.model, self.penalty, self.remember, self.split = model, penalty, remember, Words()
+    Words and costs are held for blocks of words, so memory is bounded however long a text
+    is and however many languages there are. What is remembered is a few sorted runs, each
+    at least twice as long as the next, so a new word is sorted in a logarithm of times.
+    """
+
+    def __init__(self, model: LanguageModel, penalty: float = SWITCH_PENALTY, remember: int = 4_000_000, step_costs: int = STEP_COSTS) -> None:
+        self.model, self.penalty, self.split = model, penalty, Words()
+        langs = max(1, len(model.langs))
+        self.remember, self.block = max(1, remember // langs), max(2, step_costs // langs)
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.costs = np.empty(0, np.uint64), np.empty((0, len(self.model.langs)), np.float32)
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def _remember(self, words: np.ndarray, costs: np.ndarray) -> None:
+        if sum(len(r[0]) for r in self.runs) > self.remember:
+            self.forget()
+        while self.runs and len(self.runs[-1][0]) < 2 * len(words):
+            more, theirs = self.runs.pop()
+            words, costs = np.concatenate([more, words]), np.concatenate([theirs, costs])
+            order = np.argsort(words, kind="stable")
+            words, costs = words[order], costs[order]
+        self.runs.append((words, costs))
 
     def cost(self, h: np.ndarray, start: np.ndarray, end: np.ndarray, data: bytes) -> np.ndarray:
         distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, distinct)
-        at[at == len(self.known)] = 0
-        new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
-        out = np.empty((len(distinct), len(self.model.langs)), np.float32)
-        out[~new] = self.costs[at[~new]]
+        out, new = np.empty((len(distinct), len(self.model.langs)), np.float32), np.ones(len(distinct), bool)
+        for known, costs in self.runs:
+            at = np.searchsorted(known, distinct)
+            at[at == len(known)] = 0
+            met = known[at] == distinct
+            out[met] = costs[at[met]]
+            new &= ~met
         if new.any():
             pos = first[new]
             out[new] = self.model.scores([data[s:e] for s, e in zip(start[pos].tolist(), end[pos].tolist(), strict=True)])
-            if len(self.known) > self.remember:
-                self.forget()
-            merged = np.concatenate([self.known, distinct[new]])
-            order = np.argsort(merged, kind="stable")
-            self.known, self.costs = merged[order], np.concatenate([self.costs, out[new]])[order]
+            self._remember(distinct[new], out[new])
         return out[back]
 
-    def viterbi(self, cost: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Labels of all words; words bounds[i]:bounds[i + 1] are those of text i."""
+    def forward(self, cost: np.ndarray, bounds: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Least cost of ending in each language at the end of each text, and how it came about for each word.
+
+        Words bounds[i]:bounds[i + 1] are those of text i. state is the cost before the first
+        word, if a text went on before it; only one text is given then. Returns the states
+        (in the order of the texts), and for each word which languages were held on to and
+        which one the others came from (not set for first words without a state).
+        """
         length = np.diff(bounds)
         order = np.argsort(-length, kind="stable")
         starts, lengths = bounds[:-1][order], length[order]
         longest = int(lengths[0]) if len(lengths) else 0
         active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # texts with over t words
-        state = np.zeros((len(lengths), cost.shape[1]), np.float32)
-        stay = np.empty(cost.shape, bool)
-        origin = np.empty(len(cost), np.int8)
+        now = np.zeros((len(lengths), cost.shape[1]), np.float32) if state is None else state.copy()
+        stay = np.ones(cost.shape, bool)
+        origin = np.zeros(len(cost), np.int32)
         for t in range(longest):
             k = active[t]
             at = starts[:k] + t
-            s = state[:k]
-            if t:
+            s = now[:k]
+            if t or state is not None:
                 best = s.argmin(axis=1)
                 switch = s[np.arange(k), best] + np.float32(self.penalty)
                 keep = s <= switch[:, None]
                 stay[at], origin[at] = keep, best
                 s = np.where(keep, s, switch[:, None])
             s = s + cost[at]
-            state[:k] = s - s.min(axis=1, keepdims=True)
-        label = np.empty(len(cost), np.int8)
-        now = state.argmin(axis=1)
+            now[:k] = s - s.min(axis=1, keepdims=True)
+        ends = np.empty_like(now)
+        ends[order] = now
+        return ends, stay, origin
+
+    @staticmethod
+    def backward(last: np.ndarray, stay: np.ndarray, origin: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Labels of all words, given those of the texts' last words, and the labels before the first words."""
+        length = np.diff(bounds)
+        order = np.argsort(-length, kind="stable")
+        starts, lengths = bounds[:-1][order], length[order]
+        longest = int(lengths[0]) if len(lengths) else 0
+        active = np.searchsorted(-lengths, -np.arange(longest), side="left")
+        label, now = np.empty(len(origin), np.int32), last[order].astype(np.int32)
         for t in range(longest - 1, -1, -1):
             k = active[t]
             at = starts[:k] + t
             label[at] = now[:k]
-            if t:
-                now[:k] = np.where(stay[at, now[:k]], now[:k], origin[at])
+            now[:k] = np.where(stay[at, now[:k]], now[:k], origin[at])
+        before = np.empty_like(now)
+        before[order] = now
+        return label, before
+
+    def viterbi(self, cost: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Labels of all words; words bounds[i]:bounds[i + 1] are those of text i."""
+        ends, stay, origin = self.forward(cost, bounds)
+        return self.backward(ends.argmin(axis=1), stay, origin, bounds)[0]
+
+    def long_text(self, words: tuple[np.ndarray, np.ndarray, np.ndarray], data: bytes) -> np.ndarray:
+        """Labels of one text of any length: forward by blocks, keeping each block's first state, then back, each block anew."""
+        h, start, end = words
+        cuts = list(range(0, len(h), self.block))
+        piece = lambda a: self.cost(h[a : a + self.block], start[a : a + self.block], end[a : a + self.block], data)
+        states: list[np.ndarray | None] = [None]
+        for a in cuts:
+            cost = piece(a)
+            states.append(self.forward(cost, np.array([0, len(cost)]), states[-1])[0])
+        label, last = np.empty(len(h), np.int32), states[-1].argmin(axis=1)
+        for i in range(len(cuts) - 1, -1, -1):
+            cost = piece(cuts[i])
+            bounds = np.array([0, len(cost)])
+            _, stay, origin = self.forward(cost, bounds, states[i])
+            label[cuts[i] : cuts[i] + len(cost)], last = self.backward(last, stay, origin, bounds)
         return label
 
     def __call__(self, rows: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text its words' labels, starts and ends in bytes."""
-        parts = [self.split.of(r) for r in rows]
-        bounds = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]).astype(np.int64)
-        if not bounds[-1]:
-            return [(p[0].astype(np.int8), p[1], p[2]) for p in parts]
-        shift = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-        h, start, end = (np.concatenate([p[i] + (shift[k] if i else h0) for k, p in enumerate(parts)]) for i, h0 in ((0, np.uint64(0)), (1, 0), (2, 0)))
-        label = self.viterbi(self.cost(h, start, end, np.concatenate(rows).tobytes()), bounds)
-        return [(label[a:b], p[1], p[2]) for a, b, p in zip(bounds[:-1], bounds[1:], parts, strict=True)]
+        out, held, size = [None] * len(rows), [], 0
+
+        def flush() -> None:
+            parts = [p for _, p in held]
+            bounds = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]).astype(np.int64)
+            shift = np.concatenate([[0], np.cumsum([len(rows[i]) for i, _ in held])])
+            h, start, end = (np.concatenate([p[c] + (shift[k] if c else np.uint64(0)) for k, p in enumerate(parts)]) for c in range(3))
+            label = self.viterbi(self.cost(h, start, end, np.concatenate([rows[i] for i, _ in held]).tobytes()), bounds)
+            for (i, p), a, b in zip(held, bounds[:-1], bounds[1:], strict=True):
+                out[i] = (label[a:b], p[1], p[2])
+
+        for i, r in enumerate(rows):
+            p = self.split.of(r)
+            if not len(p[0]):
+                out[i] = (np.empty(0, np.int32), p[1], p[2])
+            elif len(p[0]) > self.block:
+                out[i] = (self.long_text(p, r.tobytes()), p[1], p[2])
+            else:
+                if size + len(p[0]) > self.block:
+                    flush()
+                    held, size = [], 0
+                held.append((i, p))
+                size += len(p[0])
+        if held:
+            flush()
+        return out
 
 
 def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
     """Learns from rows (doc_id, text, lang) whose text and lang are known.
 
     At most rows_per_language rows of each language, those of the least hash of their id
-    and text, come to the driver; repeated rows count once, and languages are taken to be
-    few. No row gives a model without languages.
+    and text, come to the driver; repeated rows count once, and texts of over TEXT_BYTES
+    are left out of this sample. Languages are taken to be few (hundreds): the model has
+    BUCKETS numbers for each. No row gives a model without languages.
     """
-    known = labelled.where("text is not null and lang is not null").select("lang", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("_h"))
+    known = labelled.where((F.octet_length("text") <= TEXT_BYTES) & F.col("lang").isNotNull()).select("lang", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("_h"))
     counts = known.groupBy("lang").agg(F.count("*").alias("_all"))  # a row per language
     low = known.join(F.broadcast(counts), "lang").where(common.among_least(F.col("_h"), F.col("_all"), rows_per_language))
     rows = low.groupBy("lang", "_h").agg(F.min("text").alias("text"))
@@ -270,7 +344,11 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = SWITCH_PENA
 
 
 def accept(docs: DataFrame, model: LanguageModel, min_score: float = 0.35, langs: tuple[str, ...] | None = None) -> DataFrame:
-    """docs without rows that are `und`, under min_score or in a language not in langs (None: any); all columns stay."""
+    """docs without rows that are `und`, under min_score or in a language not in langs (None: any); all columns stay, whatever their names.
+
+    Null, empty and letterless texts are `und` and go, as does every row under a model without
+    languages. Repeated rows and null ids are judged each by their text. An empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.logs, model.allowed))
 
     def run(batches: Iterator) -> Iterator:
@@ -286,6 +364,7 @@ def accept(docs: DataFrame, model: LanguageModel, min_score: float = 0.35, langs
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language, learnt from those that are not held out."""
     docs = common.text_sources(spark, sf_dir, "documents")
     model = fit(docs.where(~common.held_out(F.col("doc_id"))))
     return identify(docs, model).select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))

@@ -389,3 +389,45 @@ def test_near_duplicates_with_hot_keys_and_repeated_ids_against_all_pairs(spark,
     again = near_dedup.link(spark.createDataFrame(few, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in again) == sorted((i % 40, want[i][0], least[want[i][1]]) for i, _ in rows)
     assert near_dedup.keep_one(spark.createDataFrame(few, "doc_id long, text string")).count() == len(least)
+
+
+def best_labelling(cost, penalty):
+    """The least total cost over all labellings of a text's words, by trying every one."""
+    from itertools import product
+
+    n, langs = cost.shape
+    total = lambda path: sum(float(cost[i, j]) for i, j in enumerate(path)) + penalty * sum(a != b for a, b in zip(path, path[1:]))
+    return min(map(total, product(range(langs), repeat=n))), total
+
+
+def test_viterbi_against_every_labelling():
+    rng = np.random.default_rng(3)
+    for langs in (1, 2, 3):
+        labeller = language.Labeller(language.LanguageModel([str(i) for i in range(langs)], np.zeros((1, langs)), np.ones((1, langs), bool)), penalty=1.5)
+        lengths = [1, 6, 3, 7, 0, 2, 5]
+        cost = rng.uniform(0, 3, size=(sum(lengths), langs)).astype(np.float32)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        label = labeller.viterbi(cost, bounds)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            least, total = best_labelling(cost[a:b], 1.5)
+            assert total(label[a:b].tolist()) == pytest.approx(least, abs=1e-4)
+
+
+def test_a_long_text_is_labelled_alike_in_any_blocks():
+    samples = {"en": [b"the quick brown fox and other things of that"], "de": ["der schnelle braune fuchs und die anderen dinge nicht".encode()], "es": [b"el rapido zorro y las otras cosas que no"]}
+    model, rng = language.LanguageModel.learn(samples), random.Random(2)
+    words = " ".join(t[0].decode() for t in samples.values()).split()
+    texts = [np.frombuffer(" ".join(rng.choices(words, k=k)).encode(), np.uint8) for k in (500, 1, 90, 0, 3000)]
+    whole = language.Labeller(model, 4.0)(texts)
+    for costs in (6, 30, 300, 3000):
+        small = language.Labeller(model, 4.0, remember=20, step_costs=costs)(texts)
+        assert all(np.array_equal(a[0], b[0]) for a, b in zip(whole, small, strict=True))
+
+
+def test_more_languages_than_a_byte_counts(spark):
+    rng = random.Random(7)
+    own = {f"l{i:03}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(12)] for i in range(150)}
+    rows = [(i, " ".join(rng.choices(words, k=30)), lang) for i, (lang, words) in enumerate(own.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs.drop("lang"), language.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) == 150 and all(r.lang == r.lang_pred for r in got)
