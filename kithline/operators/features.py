@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import PAIR_SCORES, scorer
+from ..functions.fuzzy import all_scores
 from .windows import with_margins
 
 MARGINS = ("name_tset", "core_tset", "sq_partial", "addr_tset", "nums_tset", "tfidf")
@@ -18,10 +18,8 @@ def joined(pairs: DataFrame, recs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def pairwise(both: DataFrame) -> DataFrame:
-    """The fuzzy scores of joined pairs, each called once; alt_tset is null without an alias."""
-    scores = {f: scorer(s)(F.col(f"q_{c}"), F.col(f"s1_{c}")) for f, c, s in PAIR_SCORES}
-    alt = F.when(F.col("q_name_alt") != "", scorer("token_set_ratio")(F.col("q_name_alt"), F.col("s1_name_n")))
-    return both.withColumns(scores | {"alt_tset": alt})
+    """The fuzzy scores of joined pairs, all from one pass through Python; alt_tset is null without an alias."""
+    return both.withColumn("_scores", all_scores()).select(*both.columns, "_scores.*")
 
 
 def lengths(side: str) -> dict[str, Column]:

@@ -175,3 +175,26 @@ def test_block_holds_pairs_of_the_dense_search_with_both_scores(spark):
     got = {(r.q, r.s1): r for r in blocked(spark)[1].collect()}
     assert set(got) == {(2, 1), (2, 4), (3, 1), (3, 4)} and got[2, 4].tfidf < got[2, 1].tfidf
     assert (got[2, 1].rank, got[2, 1].emb_rank, got[2, 4].rank, got[2, 4].emb_rank) == (1, 1, 2, 2) and abs(got[2, 1].emb - 1) < 1e-5
+
+
+def test_batches_score_as_single_pairs_do():
+    rng = random.Random(11)
+    words = ["alpha", "beta", "st", "été", "x", "co", "9", "日本"]
+    text = lambda: " ".join(rng.choices(words, k=rng.choice([0, 1, 2, 4, 12, 40])))
+    a, b = ([text() for _ in range(400)] for _ in range(2))
+    a += ["abc", "", "", "x" * 64, "x" * 65, "ab" * 70, "\0a"]
+    b += ["bca", "", "q", "x" * 64 + "y", "y" + "x" * 64, "ba" * 80, "a\0"]
+    for name, one in fuzzy.SCORERS.items():
+        assert fuzzy.scored(name, a, b).tolist() == pytest.approx([one(x, y) for x, y in zip(a, b)], abs=1e-9), name
+    assert [x != x for x in fuzzy.scored("ratio", ["a", None], [None, "b"])] == [True, True]
+
+
+def test_pair_scores_cross_to_python_once(spark):
+    from kithline.operators import features
+
+    one = dict.fromkeys(["name_n", "name_core", "name_sq", "addr_n", "nums"], "a b 1") | {"name_alt": ""}
+    both = spark.createDataFrame([{f"{s}_{c}": v for s in ("q", "s1") for c, v in one.items()} | {"q": 2, "s1": 1}, {f"{s}_{c}": None for s in ("q", "s1") for c in one} | {"q": 3, "s1": 1}], "q long, s1 long, " + ", ".join(f"{s}_{c} string" for s in ("q", "s1") for c in one))
+    out = features.pairwise(both)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    rows = {r.q: r for r in out.collect()}
+    assert rows[2].name_ratio == 100 and rows[2].core_jw == 1 and rows[2].alt_tset is None and rows[3].addr_partial is None
