@@ -1,8 +1,9 @@
-"""TF-IDF and dense candidate search, as joins.
+"""TF-IDF and dense candidate search.
 
-A vector is a set of rows (group, id, token, w). Similarity joins meet on
-(country, token); tokens in more than max_df of a country's records are dropped
-first, which bounds the join. Scores are ranked after rounding, ties by id.
+A record's vector is one row with its terms; tokens in more than max_df of a country's
+records are dropped. Queries and references of a country meet in blocks, as pairs of
+matrices; no row is made for a token that two records share. Scores are ranked after
+rounding, ties by id.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import io
 
 
 def records(raw: DataFrame) -> DataFrame:
@@ -47,15 +49,21 @@ def bag(recs: DataFrame) -> DataFrame:
     return recs.withColumn("tokens", T.record_tokens(*(F.col(c) for c in ("name_core", "name_alt", "name_sq", "addr_n", "nums"))))
 
 
-def tfidf(recs: DataFrame, tokens: Column, max_df: float = 1.0) -> DataFrame:
-    """country, entity_id, src, token, w: sublinear term frequency, smoothed idf, unit length over kept tokens."""
-    n = recs.groupBy("country").agg(F.count("*").alias("_n"))
-    tf = recs.select("country", "entity_id", "src", F.explode(tokens).alias("token")).groupBy("country", "entity_id", "src", "token").agg(F.count("*").alias("_c"))
+def term_vectors(recs: DataFrame, tokens: Column, max_df: float = 1.0) -> DataFrame:
+    """country, entity_id, src and terms (token, w): sublinear term frequency, smoothed idf, unit length over kept tokens."""
+    n = recs.groupBy("country").agg(F.count("*").alias("_n"))  # a row per country
+    counted = F.transform(F.array_distinct(F.col("_t")), lambda t: F.struct(t.alias("token"), F.size(F.filter("_t", lambda x: x == t)).alias("c")))
+    tf = recs.select("country", "entity_id", "src", tokens.alias("_t")).select("country", "entity_id", "src", F.explode(counted).alias("_x")).select("country", "entity_id", "src", "_x.*")
     df = tf.groupBy("country", "token").agg(F.count("*").alias("_df")).join(F.broadcast(n), "country").where(F.col("_df") <= max_df * F.col("_n"))
     idf = df.select("country", "token", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("_idf"))
-    raw = tf.join(idf, ["country", "token"]).withColumn("_w", (1 + F.log("_c")) * F.col("_idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("country", "entity_id")))
-    return raw.select("country", "entity_id", "src", "token", (F.col("_w") / norm).alias("w"))
+    raw = tf.join(idf, ["country", "token"]).withColumn("w", (1 + F.log("c")) * F.col("_idf"))
+    whole = raw.groupBy("country", "entity_id", "src").agg(F.collect_list(F.struct("token", "w")).alias("_x"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    return whole.select("country", "entity_id", "src", F.transform("_x", lambda x: F.struct(x["token"].alias("token"), (x["w"] / F.col("_norm")).alias("w"))).alias("terms"))
+
+
+def tfidf(recs: DataFrame, tokens: Column, max_df: float = 1.0) -> DataFrame:
+    """country, entity_id, src, token, w: a row for each term of the records' vectors."""
+    return term_vectors(recs, tokens, max_df).select("country", "entity_id", "src", F.explode("terms").alias("_x")).select("country", "entity_id", "src", "_x.*")
 
 
 def top_k(scored: DataFrame, score: str, k: int, rank: str = "rank") -> DataFrame:
@@ -63,12 +71,67 @@ def top_k(scored: DataFrame, score: str, k: int, rank: str = "rank") -> DataFram
     return scored.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def sparse_topk(weights: DataFrame, k: int = 8, least: float = 1e-6) -> DataFrame:
-    """q, s1, tfidf, rank: the k nearest source-1 records of the same country."""
-    q = weights.where("src > 1").select("country", "token", F.col("entity_id").alias("q"), F.col("w").alias("_a"))
-    s = weights.where("src = 1").select("country", "token", F.col("entity_id").alias("s1"), F.col("w").alias("_b"))
-    scored = q.join(s, ["country", "token"]).groupBy("q", "s1").agg(F.sum(F.col("_a") * F.col("_b")).alias("tfidf")).where(F.col("tfidf") > least)
-    return top_k(scored, "tfidf", k)
+def _in_blocks(records: DataFrame, columns: list[str], references: int, queries: int) -> tuple[DataFrame, DataFrame]:
+    """Queries (src > 1) and references (src = 1) of one country, dealt so that each block of the ones meets each of the others.
+
+    Both have country, _x (block of queries), _y (block of references), entity_id and columns.
+    A reference goes to each block of queries and the other way round, so what is shuffled is
+    a country's records times the number of blocks on the other side.
+    """
+    blocks = lambda which, size: F.ceil(F.sum(which.cast("int")) / size).cast("int")
+    n = records.groupBy("country").agg(blocks(F.col("src") == 1, references).alias("_s"), blocks(F.col("src") > 1, queries).alias("_q"))  # a row per country
+    placed = records.join(F.broadcast(n), "country").where("_s > 0 and _q > 0")
+    part = lambda c: F.pmod(F.xxhash64("entity_id"), F.col(c)).cast("int")
+    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    cols = ["country", "_x", "_y", "entity_id", *columns]
+    return placed.where("src > 1").withColumn("_x", part("_q")).withColumn("_y", spread("_s")).select(*cols), placed.where("src = 1").withColumn("_y", part("_s")).withColumn("_x", spread("_q")).select(*cols)
+
+
+def _block_search(queries: DataFrame, references: DataFrame, search, score: str) -> DataFrame:
+    """search(queries, references) on each pair of blocks, as (q, s1, score)."""
+    keys = ["country", "_x", "_y"]
+    left, right = (df.select(*[F.col(c).alias(f"{side}{c}") for c in df.columns]) for side, df in (("q", queries), ("s", references)))
+    return left.groupBy(*(f"q{k}" for k in keys)).cogroup(right.groupBy(*(f"s{k}" for k in keys))).applyInPandas(search, f"q long, s1 long, {score} double")
+
+
+def sparse_topk(vectors: DataFrame, k: int = 8, least: float = 1e-6, references: int = 1 << 16, queries: int = 1 << 12) -> DataFrame:
+    """q, s1, tfidf, rank: the k nearest source-1 records of the same country, from term vectors.
+
+    Exact. A task holds one block of references as postings (token, reference, weight) and adds
+    up the products of a few queries at a time; tokens are known by their 64-bit hashes there.
+    """
+    import numpy as np
+
+    flat = vectors.select("country", "entity_id", "src", F.transform("terms", lambda x: F.xxhash64(x["token"])).alias("t"), F.transform("terms", lambda x: x["w"]).alias("w"))
+
+    def search(a, b):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        none = pd.DataFrame({"q": [], "s1": [], "tfidf": []}).astype({"q": "int64", "s1": "int64", "tfidf": "float64"})
+        if not len(a) or not len(b):
+            return none
+        ref, n = b["sentity_id"].to_numpy(), len(b)
+        tokens, weight = np.concatenate(b["st"].to_list()), np.concatenate(b["sw"].to_list())
+        owner = np.repeat(np.arange(n), b["st"].map(len))
+        order = np.argsort(tokens, kind="stable")
+        tokens, weight, owner = tokens[order], weight[order], owner[order]
+        found, at_once = [none], max(1, (1 << 22) // n)
+        for i in range(0, len(a), at_once):
+            part = a.iloc[i : i + at_once]
+            asked, own = np.concatenate(part["qt"].to_list()), np.concatenate(part["qw"].to_list())
+            who = np.repeat(np.arange(len(part)), part["qt"].map(len))
+            lo, hi = np.searchsorted(tokens, asked, "left"), np.searchsorted(tokens, asked, "right")
+            many = hi - lo
+            at = np.arange(many.sum()) + np.repeat(lo - np.cumsum(many) + many, many)
+            scores = np.bincount(np.repeat(who, many) * n + owner[at], np.repeat(own, many) * weight[at], minlength=len(part) * n).reshape(len(part), n)
+            few = min(k, n)
+            best = np.maximum(np.partition(scores, n - few, axis=1)[:, n - few] - 1e-9, least)
+            x, y = np.nonzero(scores >= best[:, None])
+            kept = scores[x, y] > least
+            found.append(pd.DataFrame({"q": part["qentity_id"].to_numpy()[x[kept]], "s1": ref[y[kept]], "tfidf": scores[x, y][kept]}))
+        return pd.concat(found)
+
+    return top_k(_block_search(*_in_blocks(flat, ["t", "w"], references, queries), search, "tfidf"), "tfidf", k)
 
 
 def pair_dot(pairs: DataFrame, weights: DataFrame, name: str) -> DataFrame:
@@ -103,12 +166,6 @@ def dense_topk(vectors: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     import numpy as np
 
     v = vectors.withColumn("v", summed(F.col("emb_name"), F.col("emb_addr"))).withColumn("v", F.transform("v", lambda x: x / (F.sqrt(dot(F.col("v"), F.col("v"))) + 1e-12)))
-    n = vectors.groupBy("country").agg(F.ceil(F.sum((F.col("src") == 1).cast("int")) / block).cast("int").alias("_s"), F.ceil(F.sum((F.col("src") > 1).cast("int")) / block).cast("int").alias("_q"))
-    v = v.join(F.broadcast(n), "country").where("_s > 0 and _q > 0")
-    part = lambda c: F.pmod(F.xxhash64("entity_id"), F.col(c)).cast("int")
-    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    q = v.where("src > 1").withColumn("_x", part("_q")).withColumn("_y", spread("_s"))
-    s = v.where("src = 1").withColumn("_y", part("_s")).withColumn("_x", spread("_q"))
 
     def search(a, b):  # noqa: ANN001, ANN202
         import pandas as pd
@@ -121,10 +178,7 @@ def dense_topk(vectors: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
         i, j = np.nonzero(scores >= least[:, None] - 1e-9)
         return pd.DataFrame({"q": a["qentity_id"].to_numpy()[i], "s1": b["sentity_id"].to_numpy()[j], "emb": scores[i, j]})
 
-    cols = ["country", "_x", "_y", "entity_id", "v"]
-    left, right = (df.select(*[F.col(c).alias(f"{side}{c}") for c in cols]) for side, df in (("q", q), ("s", s)))
-    found = left.groupBy(*left.columns[:3]).cogroup(right.groupBy(*right.columns[:3])).applyInPandas(search, "q long, s1 long, emb double")
-    return top_k(found, "emb", k, "emb_rank")
+    return top_k(_block_search(*_in_blocks(v, ["v"], block, block), search, "emb"), "emb", k, "emb_rank")
 
 
 def encoded(recs: DataFrame) -> DataFrame:
@@ -138,9 +192,10 @@ def block(recs: DataFrame, max_df: float = 0.01, k: int = 8, vectors: DataFrame
     Every pair has tfidf (0 for pairs without a common token) and its rank; with vectors
     (entity_id, src, country, emb_name, emb_addr) emb and emb_rank too, whichever search found it.
     """
-    weights = tfidf(recs, F.col("tokens"), max_df)
+    terms = io.rewritten(term_vectors(recs, F.col("tokens"), max_df), "terms")
+    weights = terms.select("entity_id", F.explode("terms").alias("_x")).select("entity_id", "_x.*")
     ranked = lambda df, score, rank: df.withColumn(rank, F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round(score, 9)), "s1")))
-    pairs = sparse_topk(weights, k).select("q", "s1")
+    pairs = sparse_topk(terms, k).select("q", "s1")
     if vectors is None:
         return ranked(pair_dot(pairs, weights, "tfidf"), "tfidf", "rank")
     pairs = pairs.union(dense_topk(vectors, emb_k).select("q", "s1")).distinct()
@@ -173,7 +228,9 @@ def hashed_vector(text: Column, dim: int = 64) -> Column:
     """Unit vector of hashed character 3-grams, the default encoder; null and empty texts are encoded as "query: -"."""
     # an expression named in a lambda is computed anew for each element, so each value is bound once
     let = lambda value, body: F.transform(F.array(value), body)[0]
-    bucket = lambda g: F.pmod(F.xxhash64(g), F.lit(dim)).cast("int")
+    # from code points, so that any SQL engine gives the same vectors
+    code = lambda g, i, m: F.ascii(F.substring(g, i, F.lit(1))).cast("long") * m
+    bucket = lambda g: ((code(g, F.lit(1), 7919) + code(g, F.lit(2), 104729) + code(g, F.lit(3), 1299709)) % 9973 % dim).cast("int")
     each = F.sequence(F.lit(0), F.lit(dim - 1))
     given = F.concat(F.lit("query: "), F.when(F.coalesce(F.trim(text), F.lit("")) == "", "-").otherwise(text))
     at = let(given, lambda t: F.transform(T.trigrams(t), bucket))

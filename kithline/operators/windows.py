@@ -19,15 +19,18 @@ def per_s1(value: str) -> Window:
 
 
 def with_margins(pairs: DataFrame, values: list[str]) -> DataFrame:
-    """Adds <value>_margin for each value; all share one exchange on q."""
+    """Adds <value>_margin for each value: what it is above the best other of the q (a lone one keeps its value; null is 0).
+
+    All values share one exchange on q and two passes over a group, and nothing is sorted by value.
+    """
     w = Window.partitionBy("q")
-    for v in values:
-        pairs = pairs.withColumn("_v", F.coalesce(F.col(v).cast("double"), F.lit(0.0)))
-        pairs = pairs.withColumn("_rn", F.row_number().over(w.orderBy(F.desc("_v"), "s1")))
-        first = F.max(F.when(F.col("_rn") == 1, F.col("_v"))).over(w)
-        second = F.coalesce(F.max(F.when(F.col("_rn") == 2, F.col("_v"))).over(w), F.lit(0.0))
-        pairs = pairs.withColumn(f"{v}_margin", F.col("_v") - F.when(F.col("_rn") == 1, second).otherwise(first)).drop("_v", "_rn")
-    return pairs
+    value = {v: F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for v in values}
+    out = pairs.withColumns({f"_m_{v}": F.max(x).over(w) for v, x in value.items()})
+    top = {v: x == F.col(f"_m_{v}") for v, x in value.items()}
+    out = out.withColumns({f"_n_{v}": F.sum(t.cast("int")).over(w) for v, t in top.items()} | {f"_s_{v}": F.max(F.when(~top[v], x)).over(w) for v, x in value.items()})
+    lone = lambda v: top[v] & (F.col(f"_n_{v}") == 1)
+    margins = {f"{v}_margin": x - F.when(lone(v), F.coalesce(f"_s_{v}", F.lit(0.0))).otherwise(F.col(f"_m_{v}")) for v, x in value.items()}
+    return out.withColumns(margins).drop(*[f"_{k}_{v}" for v in values for k in "mns"])
 
 
 def top2(pairs: DataFrame, group: str = "s1", member: str = "q", value: str = "p") -> DataFrame:

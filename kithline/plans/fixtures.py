@@ -19,7 +19,7 @@ RECORDS_DUCK = """select doc_id as entity_id, cast(doc_id % 3 + 1 as int) as src
   from (select *, string_split(regexp_replace(trim(text),'[ \\t\\r\\n]+',' ','g'),' ') as w from documents) t"""
 RECORDS_SPARK = """select doc_id as entity_id, cast(doc_id % 3 + 1 as int) as src, lang as country, array_join(slice(w,1,6),' ') as business_name,
   case when doc_id % 29 = 0 then '' else concat(array_join(slice(w,7,8),' '),' No ',lpad(cast(n_chars as string),5,'0')) end as business_address
-  from (select *, split(regexp_replace(trim(text),'[ \\\\t\\\\r\\\\n]+',' '),' ') as w from {documents}) t"""
+  from (select *, split(regexp_replace(regexp_extract(trim(text),'^(?:[^ \\\\t\\\\r\\\\n]*[ \\\\t\\\\r\\\\n]+){{0,13}}[^ \\\\t\\\\r\\\\n]*',0),'[ \\\\t\\\\r\\\\n]+',' '),' ') as w from {documents}) t"""
 #: Candidate pairs of records: up to five source-1 records next to each other record.
 RECORD_PAIRS_DUCK = """select r.entity_id as q, s.entity_id as s1 from (select *, unnest(range(0, 5)) as k from {recs} where src > 1) r
   join {recs} s on s.entity_id = r.entity_id - r.entity_id % 3 + 3 * r.k and s.src = 1"""
@@ -100,4 +100,4 @@ def with_ctes(names: str, select: str, extra: dict[str, str] | None = None, need
 
     for n in names.split():
         add(n)
-    return "WITH " + ",\n".join(f"{n} AS ({ctes[n]})" for n in order) + "\n" + select
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({ctes[n]})" for n in order) + "\n" + select

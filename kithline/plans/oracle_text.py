@@ -117,8 +117,19 @@ NEEDS = {
     "rarity": "sims", "keyed": "recs", "same": "keyed rpairs", "sharp": "pairs", "expected": "sharp",
 }
 
+#: The default encoder (similarity.hashed_vector) of a column.
+def encoder(c: str) -> str:
+    text = f"('query: ' || case when trim(coalesce({c}, '')) = '' then '-' else {c} end)"
+    code = lambda k, m: f"unicode(substr({text}, i + {k}, 1)) * {m}"
+    at = f"list_transform(range(1, length({text}) - 1), lambda i: ({code(0, 7919)} + {code(1, 104729)} + {code(2, 1299709)}) % 9973 % 64)"
+    return f"list_transform(range(0, 64), lambda d: cast(len(list_filter({at}, lambda x: x = d)) as double))"
+
+
+CTES["counted"] = f"select entity_id, src, country, {encoder('name_n')} as cn, {encoder('addr_n')} as ca from recs"
+CTES["encoded"] = "select entity_id, src, country, list_transform(cn, lambda x: cast(x / n as float)) as emb_name, list_transform(ca, lambda x: cast(x / a as float)) as emb_addr from (select *, sqrt(list_dot_product(cn, cn)) as n, sqrt(list_dot_product(ca, ca)) as a from counted)"
+NEEDS |= {"counted": "recs", "encoded": "counted"}
 _sum = lambda a, b: f"list_transform(range(1, len({a}) + 1), lambda i: cast({a}[i] as double) + cast({b}[i] as double))"
-_dot = lambda a, b: f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: cast({a}[i] as double) * cast({b}[i] as double)))"
+_dot = lambda a, b: f"list_dot_product(cast({a} as double[]), cast({b} as double[]))"
 DENSE = f"""select q, s1, round(emb, 5) as emb, emb_rank from (select *, row_number() over (partition by q order by round(emb, 9) desc, s1) as emb_rank from (
     select a.entity_id as q, b.entity_id as s1, {_dot('a.v', 'b.v')} / (sqrt({_dot('a.v', 'a.v')}) * sqrt({_dot('b.v', 'b.v')})) as emb
     from (select *, {_sum('emb_name', 'emb_addr')} as v from vectors) a join (select *, {_sum('emb_name', 'emb_addr')} as v from vectors) b on a.country = b.country and a.src > 1 and b.src = 1)) where emb_rank <= 5"""
@@ -126,3 +137,12 @@ _VPAIRS = "vectors a join vectors b on b.entity_id = a.entity_id - a.entity_id %
 ROWWISE = f"select a.entity_id as q, b.entity_id as s1, round({_dot('a.emb_name', 'b.emb_name')}, 6) as emb_name, round({_dot('a.emb_addr', 'b.emb_addr')}, 6) as emb_addr from {_VPAIRS}"
 COMBINED = f"""select q, s1, round({_dot('x', 'y')} / (sqrt({_dot('x', 'x')}) * sqrt({_dot('y', 'y')}) + cast(0.000001 as double)), 5) as cosine from (
     select a.entity_id as q, b.entity_id as s1, {_sum('a.emb_name', 'a.emb_addr')} as x, {_sum('b.emb_name', 'b.emb_addr')} as y from {_VPAIRS})"""
+#: The union of both searches, every pair with both scores and ranks.
+CTES["summed"] = f"select entity_id, src, country, {_sum('emb_name', 'emb_addr')} as v from encoded"
+CTES["dense"] = f"""select q, s1 from (select *, row_number() over (partition by q order by round(emb, 9) desc, s1) as r from (
+    select a.entity_id as q, b.entity_id as s1, {_dot('a.v', 'b.v')} / (sqrt({_dot('a.v', 'a.v')}) * sqrt({_dot('b.v', 'b.v')})) as emb from summed a join summed b on a.country = b.country and a.src > 1 and b.src = 1)) where r <= 5"""
+CTES["blocked"] = f"""select p.q, p.s1, coalesce(d, 0) as tfidf, {_dot('a.v', 'b.v')} / (sqrt({_dot('a.v', 'a.v')}) * sqrt({_dot('b.v', 'b.v')}) + cast(0.000001 as double)) as emb
+    from (select q, s1 from sparse union select q, s1 from dense) p join summed a on a.entity_id = p.q join summed b on b.entity_id = p.s1
+    left join (select p.q, p.s1, sum(x.w * y.w) as d from (select q, s1 from sparse union select q, s1 from dense) p join weights x on x.entity_id = p.q join weights y on y.entity_id = p.s1 and y.token = x.token group by 1, 2) t on t.q = p.q and t.s1 = p.s1"""
+NEEDS |= {"summed": "encoded", "dense": "summed", "blocked": "sparse dense summed weights"}
+BLOCK = "select q, s1, round(tfidf, 6) as tfidf, row_number() over (partition by q order by round(tfidf, 9) desc, s1) as rank, round(emb, 5) as emb, row_number() over (partition by q order by round(emb, 9) desc, s1) as emb_rank from blocked"

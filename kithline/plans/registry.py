@@ -447,15 +447,24 @@ def _(t: Tables) -> DataFrame:
 
 
 def _sparse(t: Tables, k: int = 8) -> DataFrame:
-    return similarity.sparse_topk(similarity.tfidf(_bag(t), F.col("tokens"), MAX_DF), k)
+    return similarity.sparse_topk(similarity.term_vectors(_bag(t), F.col("tokens"), MAX_DF), k)
 
 
-for _name in ("join_sparse_topk", "block_country"):
-    query(_name, "sparse", "select q, s1, round(tfidf, 6) as tfidf, rank from sparse")(
-        (lambda t: _sparse(t).select("q", "s1", r6("tfidf"), F.col("rank").cast("long").alias("rank")))
-        if _name == "join_sparse_topk"
-        else (lambda t: similarity.block(_bag(t), MAX_DF).select("q", "s1", r6("tfidf"), F.col("rank").cast("long").alias("rank")))
-    )
+@query("join_sparse_topk", "sparse", "select q, s1, round(tfidf, 6) as tfidf, rank from sparse")
+def _(t: Tables) -> DataFrame:
+    return _sparse(t).select("q", "s1", r6("tfidf"), F.col("rank").cast("long").alias("rank"))
+
+
+def _blocked(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs of both searches, and the records with bag and vectors they come from."""
+    recs = io.rewritten(similarity.encoded(_bag(t)), "records")
+    return similarity.block(recs, MAX_DF, vectors=recs), recs
+
+
+@query("block_country", "blocked", D.BLOCK)
+def _(t: Tables) -> DataFrame:
+    pairs, _ = _blocked(t)
+    return pairs.select("q", "s1", r6("tfidf"), F.col("rank").cast("long").alias("rank"), F.round("emb", 5).alias("emb"), F.col("emb_rank").cast("long").alias("emb_rank"))
 
 
 @query("rowwise_tfidf_dot", "weights rpairs", "select rpairs.q, rpairs.s1, round(coalesce(d, 0), 6) as tfidf from rpairs left join (select p.q, p.s1, sum(a.w * b.w) as d from rpairs p join weights a on a.entity_id = p.q join weights b on b.entity_id = p.s1 and a.token = b.token group by p.q, p.s1) x on x.q = rpairs.q and x.s1 = rpairs.s1")
@@ -520,9 +529,13 @@ def _(t: Tables) -> DataFrame:
     return out.select("q", "s1", *[r6(c + m) for c in ("addr_idf", "name_idf", "name_cidf") for m in ("", "_margin")], "q_same_name", "s1_same_name")
 
 
-@query("embed_text")
+_SHOWN = lambda c: f"array_to_string(list_transform({c}, lambda x: cast(cast(round(cast(x as double) * 100000) as bigint) as varchar)), ',')"
+
+
+@query("embed_text", "encoded", f"select entity_id, {_SHOWN('emb_name')} as emb_name, {_SHOWN('emb_addr')} as emb_addr from encoded")
 def _(t: Tables) -> DataFrame:
-    return t.records().select("entity_id", similarity.hashed_vector(F.col("name_n")).alias("emb_name"), similarity.hashed_vector(F.col("addr_n")).alias("emb_addr"))
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.round(x.cast("double") * 100000).cast("long").cast("string")), ",").alias(c)
+    return similarity.encoded(t.records()).select("entity_id", shown("emb_name"), shown("emb_addr"))
 
 
 @query("blocking_recall", "sparse raw", """select country, round(avg(cast(rank is not null as double)), 6) as recall, round(avg(cast(coalesce(rank <= 1, false) as double)), 6) as recall_1
