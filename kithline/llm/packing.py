@@ -10,8 +10,10 @@ window between batches. At its end the open window's pieces and all left over
 are laid end to end and cut into tier-sized windows, largest first, and the last
 few ids form the only padded sequence of the task.
 
-Step groups: the full windows of a tier are numbered, and every `group_tokens`
-of them form one step group, so all groups of a tier hold equally many tokens.
+Step groups: the windows of a tier are numbered through all tasks (from one count for
+each task and tier), and every so many as hold `group_tokens` tokens form one step group.
+So all groups hold equally many tokens, but for the last group of each tier and the
+padded sequences, which count as windows of the longest tier.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -29,9 +31,11 @@ from .token_ids import encoder
 
 TIERS = (128, 256, 512, 1024, 2048)
 GROUP_TOKENS = 1 << 16
+#: Up to so many counts (tasks times tiers) are broadcast.
+MOST_COUNTS = 1_000_000
 #: Words an encoder remembers; it lives on in the worker through later stages, so it holds fewer than others do.
 CACHE_WORDS = 160_000
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, padding long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, window long, padding long"
 
 
 class _Pool:
@@ -61,19 +65,18 @@ class _Pool:
 
 
 class _Packer:
-    def __init__(self, part: int, tiers: tuple[int, ...], group_tokens: int, keep_ids: bool) -> None:
-        self.tiers, self.group_tokens, self.keep_ids = tiers, group_tokens, keep_ids
+    def __init__(self, part: int, tiers: tuple[int, ...], keep_ids: bool) -> None:
+        self.tiers, self.keep_ids = tiers, keep_ids
         self.pool, self.open, self.gap, self.tier = _Pool(), [], 0, 0
-        self.sequence, self.base, self.count = part << 32, part << 32, dict.fromkeys(tiers, 0)
+        self.sequence, self.count = part << 32, dict.fromkeys(tiers, 0)
         self.rows: list[tuple] = []
 
     def close(self, pieces: list[tuple], tier: int, padding: int = 0) -> None:
-        group = self.base + (self.tiers.index(tier) << 28) + self.count[tier] // max(1, self.group_tokens // tier)
+        window, offset = self.count[tier], 0
         self.count[tier] += 1
-        offset = 0
         for doc_id, ids, start, total in pieces:
             raw = ids.tobytes()
-            self.rows.append((doc_id, start, len(ids), zlib.crc32(raw), total, self.sequence, offset, tier, group, padding, raw))
+            self.rows.append((doc_id, start, len(ids), zlib.crc32(raw), total, self.sequence, offset, tier, window, padding, raw))
             offset += len(ids)
         self.sequence += 1
 
@@ -129,7 +132,7 @@ class _Packer:
         self.rows = []
         kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64(), pa.int64()]
         arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=False)]
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "padding"]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "window", "padding"]
         if self.keep_ids:
             arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in cols[10]], pa.list_(pa.int32())))
             names.append("ids")
@@ -146,6 +149,7 @@ def pack(
     rows are packed like any other row. Other columns are not read. An empty table
     gives no pieces. Texts are encoded whole, however long; a sequence's id holds
     the task's number in its upper half, so ids are unique without coordination.
+    The pieces are written to the shared folder before they get their step groups.
     """
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers)):
         raise ValueError("tiers must be ascending powers of two")
@@ -155,7 +159,7 @@ def pack(
 
         encode = encoder(tokenizer_path, lead_space, CACHE_WORDS).encode
         end = np.array([end_id], "<u4").tobytes()
-        packer = _Packer(TaskContext.get().partitionId(), tiers, group_tokens, keep_ids)
+        packer = _Packer(TaskContext.get().partitionId(), tiers, keep_ids)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -168,10 +172,26 @@ def pack(
         yield packer.take()
 
     schema = PIECES + (", ids array<int>" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    pieces = common.materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema), "packed")
+    return _with_step_groups(pieces, tiers, group_tokens)
+
+
+def _with_step_groups(pieces: DataFrame, tiers: tuple[int, ...], group_tokens: int) -> DataFrame:
+    """Numbers each tier's windows through all tasks and adds the step group each is in; groups of different tiers differ."""
+    task = F.shiftright("sequence_id", 32)
+    counts = pieces.groupBy(task.alias("_task"), "tier").agg((F.max("window") + 1).alias("_n"))  # a row for each task and tier
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("tier").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = common.materialize(counts.select("_task", "tier", before.alias("_before")), "packed-counts")
+    placed = pieces.withColumn("_task", task).join(F.broadcast(base) if common.fits(base, MOST_COUNTS) else base, ["_task", "tier"])
+    windows_of = F.greatest(F.lit(1), F.floor(F.lit(group_tokens) / F.col("tier"))).cast("long")
+    number = F.floor((F.col("_before") + F.col("window")) / windows_of).cast("long")
+    order = F.array_position(F.array(*[F.lit(t) for t in tiers]), F.col("tier"))
+    own = [c for c in pieces.columns if c not in ("window", "padding", "ids")]
+    return placed.select(*own, (F.shiftleft(order, 48) + number).alias("step_group"), "padding", *[c for c in pieces.columns if c == "ids"])
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that all documents are packed into."""
     import public_tokenizers
 
     return pack(common.text_sources(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
