@@ -1,20 +1,23 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-Items are partitioned by the number of shingles they have. Of an item with n
-shingles of which a share c must be in a document, any n - ceil(c n) + 1 contain
-at least one that is; the index of a size partition holds that many MinHash
-values (the item's least hashes). A document with that share therefore always
-hits the index, however long it is, and every hit is verified by exact
-containment of the item's shingles. A document is hashed once, next to its text,
-and nothing is shuffled.
-
-The benchmark travels to the executors in blocks of bounded size (BLOCK_BYTES of
-text); a larger benchmark takes one more pass over the documents for each block.
+Items are partitioned by the number of shingles they have, and a partition indexes of
+each item a sketch, its least hashes: as many as may be missing at the wanted share, and
+SURPLUS more. A document's containment of an item is estimated by the share of the sketch
+among the document's hashes. If it holds the wanted share of the whole item, at most that
+many sketch values can be missing, so at least SURPLUS of them (or all, of small items)
+must be there; items below that are dropped without a miss, however long the document
+is, and the others are verified by exact containment of all their shingles. A document
+is hashed once, next to its text, and nothing is shuffled.
+
+The benchmark travels to the executors in blocks of bounded size (BLOCK_BYTES of text);
+of a larger one, each block takes a pass of its own over the documents, whose findings
+are written, and its broadcast is freed before the next.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from math import ceil
 
 import numpy as np
@@ -26,19 +29,43 @@ from .shingles import WordHasher, binary_rows
 
 WIDTH = 5
 CONTAINMENT = 0.8
+#: Sketch values of an item beyond those that may be missing.
+SURPLUS = 4
 BLOCK_BYTES = 16 << 20
+#: Up to so many digests of texts with items are broadcast.
+BROADCAST_KEYS = 1_000_000
 #: ASCII white space, controls and punctuation part words; so do case and punctuation not hide a passage.
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
 _BITS = 20
 
 
+class _Partition:
+    """The sketches of items of one shingle width and like sizes: keys in order, and the item each is of."""
+
+    def __init__(self, width: int, sketches: list[tuple[int, np.ndarray]]) -> None:
+        keys = np.concatenate([s for _, s in sketches])
+        owners = np.repeat([i for i, _ in sketches], [len(s) for _, s in sketches])
+        order = np.argsort(keys, kind="stable")
+        self.width, self.keys, self.owners = width, keys[order], owners[order]
+        self.maybe = np.zeros(1 << _BITS, bool)
+        self.maybe[self.keys >> np.uint64(64 - _BITS)] = True
+
+    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items of whose sketch a value is among the document's hashes, and how many are."""
+        own = np.unique(hashes[self.maybe[hashes >> np.uint64(64 - _BITS)]])
+        lo, hi = np.searchsorted(self.keys, own, "left"), np.searchsorted(self.keys, own, "right")
+        many = hi - lo
+        at = np.arange(many.sum()) + np.repeat(lo - np.cumsum(many) + many, many)
+        return np.unique(self.owners[at], return_counts=True)
+
+
 class ItemIndex:
-    """Items (id, UTF-8 text) by size partition, with their least hashes."""
+    """Items (id, UTF-8 text) in partitions by size, with sketches and whole shingle sets."""
 
     def __init__(self, items: list[tuple], width: int, containment: float) -> None:
-        self.hasher, self.width = WordHasher(SEPARATORS), width
-        self.ids, self.sets, self.need, self.widths = [], [], [], []
-        keys, owners, widths = [], [], []
+        self.hasher = WordHasher(SEPARATORS)
+        self.ids, self.sets, self.need, self.least = [], [], [], []
+        parts: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
         for item_id, text in items:
             words = self.hasher.words(text or b"")
             if not len(words):
@@ -46,39 +73,31 @@ class ItemIndex:
             k = min(width, len(words))
             s = np.unique(self.hasher.grams(words, k))
             need = ceil(containment * len(s) - 1e-9)
-            least = s[: len(s) - need + 1]
-            keys.append(least)
-            owners += [len(self.ids)] * len(least)
-            widths += [k] * len(least)
+            missing = len(s) - need
+            sketch = s[: missing + SURPLUS]
+            parts.setdefault((k, len(s).bit_length()), []).append((len(self.ids), sketch))
             self.ids.append(item_id)
             self.sets.append(s)
             self.need.append(need)
-        self.keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.owners, widths = self.keys[order], np.array(owners, np.int64)[order], np.array(widths)[order]
-        self.widths = sorted(set(widths.tolist()))
-        self.maybe = {k: np.zeros(1 << _BITS, bool) for k in self.widths}
-        for k in self.widths:
-            self.maybe[k][self.keys[widths == k] >> np.uint64(64 - _BITS)] = True
+            self.least.append(len(sketch) - missing)
+        self.least = np.array(self.least, np.int64)
+        self.partitions = [_Partition(k, sketches) for (k, _), sketches in sorted(parts.items())]
 
     def contained(self, text: bytes | np.ndarray) -> list[tuple[object, float]]:
         """(item, share) of each item of whose shingles the text holds the needed share."""
-        words, grams, hits = self.hasher.words(text), {}, set()
-        for k in self.widths:
-            if len(words) < k:
+        words, grams, candidates = self.hasher.words(text), {}, []
+        for p in self.partitions:
+            if len(words) < p.width:
                 continue
-            g = grams[k] = self.hasher.grams(words, k)
-            g = np.unique(g[self.maybe[k][g >> np.uint64(64 - _BITS)]])
-            at = np.searchsorted(self.keys, g)
-            for i, h in zip(at, g, strict=True):
-                while i < len(self.keys) and self.keys[i] == h:
-                    hits.add(int(self.owners[i]))
-                    i += 1
-        if not hits:
+            if p.width not in grams:
+                grams[p.width] = self.hasher.grams(words, p.width)
+            items, n = p.hits(grams[p.width])
+            candidates += items[n >= self.least[items]].tolist()
+        if not candidates:
             return []
         own = np.unique(np.concatenate(list(grams.values())))
         out = []
-        for i in sorted(hits):
+        for i in sorted(candidates):
             both = int(np.isin(self.sets[i], own, assume_unique=True).sum())
             if both >= self.need[i]:
                 out.append((self.ids[i], both / len(self.sets[i])))
@@ -105,37 +124,54 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cont
     folded. Items of fewer than width words are one shingle of all of them; items and
     texts that are null or have no word match nothing. Repeated rows each give their rows.
     """
-    return _passes(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), benchmark, width, containment)
-
-
-def _passes(rows: DataFrame, benchmark: DataFrame, width: int, containment: float) -> DataFrame:
-    spark, out = rows.sparkSession, None
-    for block in _item_blocks(benchmark):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator, sent=sent) -> Iterator:
-            import pyarrow as pa
-
-            index = ItemIndex(sent.value, width, containment)
-            for b in batches:
-                ids, found = b.column(0).to_pylist(), []
-                for doc_id, row in zip(ids, binary_rows(b.column(1)), strict=True):
-                    found += [(doc_id, i, c) for i, c in index.contained(row)] if row is not None and len(row) else []
-                cols = list(zip(*found, strict=True)) if found else [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["doc_id", "item_id", "containment"])
-
-        part = rows.mapInArrow(run, "doc_id long, item_id long, containment double")
-        out = part if out is None else out.unionByName(part)
+    blocks = _item_blocks(benchmark)
+    first, second = next(blocks), next(blocks, None)
+    return _passes(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), blocks, first, second, width, containment)
+
+
+def _search(rows: DataFrame, block: list[tuple], width: int, containment: float):
+    """What one block finds in rows (key, text), as (key, item_id, containment), and its broadcast."""
+    sent = rows.sparkSession.sparkContext.broadcast(block)
+    kind = rows.schema[0]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        index = ItemIndex(sent.value, width, containment)
+        for b in batches:
+            found = [(at, i, c) for at, row in enumerate(binary_rows(b.column(1))) if row is not None and len(row) for i, c in index.contained(row)]
+            at, items, shares = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(items, pa.int64()), pa.array(shares, pa.float64())], [kind.name, "item_id", "containment"])
+
+    return rows.mapInArrow(run, f"{kind.name} {kind.dataType.simpleString()}, item_id long, containment double"), sent
+
+
+def _passes(rows: DataFrame, blocks: Iterator[list[tuple]], first: list[tuple], second: list[tuple] | None, width: int, containment: float) -> DataFrame:
+    """_search of all blocks; with more than one, each pass is written and its broadcast freed."""
+    found, sent = _search(rows, first, width, containment)
+    if second is None:
+        return found
+    out = common.materialize(found, "bench-pass")
+    sent.destroy()
+    for block in chain([second], blocks):
+        found, sent = _search(rows, block, width, containment)
+        out = out.unionByName(common.materialize(found, "bench-pass"))
+        sent.destroy()
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, containment: float = CONTAINMENT) -> DataFrame:
-    """docs without the rows whose text holds a benchmark item; all columns stay. A null id is no bar."""
-    schema = docs.schema
-    for block in _item_blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    """docs without the rows whose text holds a benchmark item; all columns stay, whatever their names.
+
+    Null and empty texts and rows of a null id stay or go by their text alone, as do repeated
+    rows. An empty table, or an empty benchmark, changes nothing.
+    """
+    blocks = _item_blocks(benchmark)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        sent = docs.sparkSession.sparkContext.broadcast(first)
 
-        def run(batches: Iterator, sent=sent) -> Iterator:
+        def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
             index = ItemIndex(sent.value, width, containment)
@@ -143,9 +179,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, containment
                 texts = b.column(b.schema.get_field_index("text")).cast(pa.large_binary())
                 yield b.filter(pa.array([row is None or not len(row) or not index.contained(row) for row in binary_rows(texts)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
-    return docs
+        return docs.mapInArrow(run, docs.schema)
+    key = F.unhex(F.md5(F.col("text").cast("binary")))
+    rows = docs.select(key.alias("text_key"), F.col("text").cast("binary"))
+    found = common.materialize(_passes(rows, blocks, first, second, width, containment).select("text_key").distinct(), "bench-found")
+    name = common.free_name(docs, "_bench_key")
+    found = found.withColumnRenamed("text_key", name)
+    return docs.withColumn(name, key).join(F.broadcast(found) if common.fits(found, BROADCAST_KEYS) else found, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold a benchmark item, and the share they hold."""
     return contaminated(common.text_sources(spark, sf_dir, "documents"), common.text_sources(spark, sf_dir, "benchmark"))

@@ -431,3 +431,46 @@ def test_more_languages_than_a_byte_counts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = language.identify(docs.drop("lang"), language.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert len(got) == 150 and all(r.lang == r.lang_pred for r in got)
+
+
+def test_wrapping_does_not_change_a_licence(spark):
+    import textwrap
+
+    texts = []
+    for name, text in licenses.LICENCES:
+        for width in (40, 60, 64, 68, 72, 76, 80, 92, 200):
+            lines = [x for part in text.split("\n") for x in textwrap.wrap(part, width, break_long_words=False, break_on_hyphens=False)]
+            texts.append((name, "Copyright (c) 2019-2021, Some One <a@b.c>\nAll rights reserved.\n\n" + "\n".join("  # " + x for x in lines)))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
+    odd = licenses.scan(odd_docs(spark).unionByName(odd_docs(spark))).collect()
+    assert len(odd) == 2 * (len(ODD) + 3) and all(r.license_id is None for r in odd) and licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_step_groups_are_balanced_across_tasks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(7)
+    rows = packing.pack(docs, WORD, group_tokens=8192).groupBy("step_group", "tier").agg(F.sum("length").alias("n"), F.sum("padding").alias("padding"), F.countDistinct("sequence_id").alias("windows")).collect()
+    by_tier = {}
+    for r in rows:
+        by_tier.setdefault(r.tier, []).append(r)
+    for tier, groups in by_tier.items():
+        assert len({r.step_group for r in groups}) == len(groups)
+        assert sum(r.windows != 8192 // tier for r in groups) <= 1  # the tier's last group
+    assert len(rows) == len({r.step_group for r in rows})
+
+
+def test_decontamination_in_many_blocks_equals_one(spark, monkeypatch):
+    docs, bench = (common.text_sources(spark, "/root/testdata/sf0.001", t) for t in ("documents", "benchmark"))
+    docs = docs.unionByName(docs.limit(20)).withColumn("_bench_key", F.lit(1))
+    found = lambda: sorted((r.doc_id, r.item_id, r.containment) for r in decontaminate.contaminated(docs, bench).collect())
+    kept = lambda: sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect())
+    one = found(), kept()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 3000)
+    assert (found(), kept()) == one and one[0] and decontaminate.clean(docs, bench).columns == docs.columns
+    for surplus in (1, 2, 50):
+        monkeypatch.setattr(decontaminate, "SURPLUS", surplus)
+        assert found() == one[0]
+    for empty in (docs.limit(0), odd_docs(spark)):
+        assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.clean(empty, bench).count() == empty.count()
+    assert decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
