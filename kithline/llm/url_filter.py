@@ -7,7 +7,6 @@ small labelled table; its weights are an array that travels with the task.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from itertools import product
 
@@ -16,16 +15,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .shingles import mix
 
 #: (verdict, rule), a rule being a host and a path prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 BUCKETS, ORDERS = 1 << 14, (3, 4, 5)
 # Parts that the small labelled table is made of.
-_BLOCKED = ("casino", "poker-bonus", "xxx-video", "adult-cams", "cheap-pills", "viagra-shop", "warez", "crack-keygen", "torrent-free", "payday-loan", "click-bait", "free-iphone")
-_ALLOWED = ("news", "wiki", "library", "university", "museum", "science-daily", "open-docs", "weather", "recipes", "city-council", "history", "example")
-_HOSTS = ("www.{}.com", "{}.net", "blog.{}.org", "m.{}.example.com")
-_PATHS_BLOCKED = ("/win-now", "/xxx/free", "/download/crack.exe", "/bonus?ref=1")
-_PATHS_ALLOWED = ("/en/2024", "/articles/about.html", "/de/index", "/")
+_BLOCKED = (
+    "casino", "online-casino", "poker-bonus", "pokerstars", "slots", "jackpot", "betting", "sportsbet", "xxx-video", "xxx", "porn", "porntube", "sexcams", "adult-cams", "adult-dating", "escort",
+    "cheap-pills", "pills-online", "viagra-shop", "cialis", "pharmacy-discount", "warez", "crack-keygen", "cracked-apps", "keygen", "torrent-free", "torrents", "payday-loan", "fast-loans", "click-bait",
+    "free-iphone", "win-prize", "lottery-winner", "crypto-doubler", "replica-watches", "essay-writer",
+)
+_ALLOWED = (
+    "news", "daily-news", "wiki", "wikibooks", "library", "public-library", "university", "college", "museum", "art-museum", "science-daily", "science", "open-docs", "docs", "weather", "recipes", "cooking",
+    "city-council", "history", "example", "school", "research", "journal", "garden", "travel-guide", "music-theory", "health-service", "hospital", "bookshop", "football-club", "chess", "maps", "railway",
+    "government", "archive", "photography",
+)
+_HOSTS = ("www.{}.com", "{}.net", "blog.{}.org", "m.{}.example.com", "{}-site.info")
+_PATHS_BLOCKED = ("/win-now", "/xxx/free", "/download/crack.exe", "/bonus?ref=1", "/", "/en/cheap-offer")
+_PATHS_ALLOWED = ("/en/2024", "/articles/about.html", "/de/index", "/", "/fr/page/12", "/docs/chapter-3.html")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
@@ -56,20 +64,30 @@ def _fitting(host: Column, path: Column, rules: tuple, value: int) -> Column:
     return out
 
 
-def _grams(host: str, path: str) -> list[int]:
-    out = []
-    for mark, s in ((b"h", host), (b"p", path)):
-        b = b"^" + s.encode() + b"$"
-        out += [zlib.crc32(mark + b[i : i + n]) % BUCKETS for n in ORDERS for i in range(len(b) - n + 1)]
-    return out
+def _grams(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character n-grams (of UTF-8 bytes, ends marked) of all hosts and paths, and the row each belongs to."""
+    buckets, owners = [], []
+    for mark, texts in ((1, hosts), (2, paths)):
+        raw = [b"\x02" + t.encode() + b"\x03" for t in texts]
+        b = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+        owner = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+        h = np.full(len(b), np.uint64(mark))
+        for n in range(1, min(max(ORDERS), len(b)) + 1):
+            # h[i] covers n bytes from i on
+            h = mix(h[: len(b) - n + 1] * np.uint64(0x100000001B3) + b[n - 1 :] + np.uint64(n))
+            if n in ORDERS:
+                whole = owner[: len(b) - n + 1] == owner[n - 1 :]
+                buckets.append((h[whole] % np.uint64(BUCKETS)).astype(np.int64))
+                owners.append(owner[: len(b) - n + 1][whole])
+    return (np.concatenate(buckets), np.concatenate(owners)) if buckets else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def train(urls: list[tuple[str, str, int]], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> np.ndarray:
     """Weights (the bias last) from (host, path, label) by full-batch gradient descent; deterministic."""
-    rows = [_grams(h, p) for h, p, _ in urls]
+    at, own = _grams([h for h, _, _ in urls], [p for _, p, _ in urls])
+    rows = urls
     y = np.array([label for *_, label in urls], float)
-    at, own = np.concatenate([np.array(r, np.int64) for r in rows]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    unit = 1 / np.sqrt(np.bincount(own, minlength=len(rows)))
+    unit = 1 / np.sqrt(np.maximum(1, np.bincount(own, minlength=len(rows))))
     w, bias = np.zeros(BUCKETS), 0.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-(np.bincount(own, w[at], minlength=len(rows)) * unit + bias)))
@@ -79,6 +97,14 @@ def train(urls: list[tuple[str, str, int]], rounds: int = 300, rate: float = 0.5
     return np.append(w, bias)
 
 
+def scores(weights: np.ndarray, hosts: list[str], paths: list[str]) -> np.ndarray:
+    """The probability that each url is to be blocked."""
+    at, own = _grams(hosts, paths)
+    n = np.bincount(own, minlength=len(hosts))
+    total = np.bincount(own, weights[at], minlength=len(hosts))
+    return 1 / (1 + np.exp(-(total / np.sqrt(np.maximum(n, 1)) + weights[-1])))
+
+
 def _split(url: str) -> tuple[str, str]:
     rest = url.partition("://")[2]
     end = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
@@ -101,13 +127,8 @@ def judge(pages: DataFrame, rules: tuple = RULES, table: list[tuple[str, int]] |
 
         for b in batches:
             host, path = b.column(1).to_pylist(), b.column(2).to_pylist()
-            grams = [_grams(h, p) for h, p in zip(host, path, strict=True)]
-            n = np.array([len(g) for g in grams], np.int64)
-            own = np.repeat(np.arange(len(grams)), n)
-            total = np.bincount(own, weights[np.fromiter((g for x in grams for g in x), np.int64, int(n.sum()))], minlength=len(grams))
-            p = 1 / (1 + np.exp(-(total / np.sqrt(np.maximum(n, 1)) + weights[-1])))
             known = np.array([bool(h or x) for h, x in zip(host, path, strict=True)], bool)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.where(known, p, 0.0))], ["page_id", "host", "path", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.where(known, scores(weights, host, path), 0.0))], ["page_id", "host", "path", "score"])
 
     scored = rows.mapInArrow(score, "page_id long, host string, path string, score double")
     host, path = F.col("host"), F.col("path")
@@ -116,4 +137,5 @@ def judge(pages: DataFrame, rules: tuple = RULES, table: list[tuple[str, int]] |
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's verdict by rule or regression."""
     return judge(common.text_sources(spark, sf_dir, "pages"))
