@@ -56,7 +56,9 @@ def _member(record_id: str, url: str, kind: str, refers_to: str | None, payload:
 def write_warc(records: DataFrame, path: str, level: int = 6) -> DataFrame:
     """Writes records (record_id, url, record_type, refers_to, payload) as one archive a partition.
 
-    Returns the archives written (path, bytes); nothing is written before an action on it.
+    Returns the archives written (path, bytes); nothing is written before an action on it. A
+    null payload is empty, a null url has no target line; repeated rows each give a record, and
+    an empty partition an archive of no bytes.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -191,9 +193,9 @@ def with_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     responses; a null id revisits the response of its payload, or is one if no id is known.
     """
     keyed = records.select("id", "url", F.coalesce("payload", F.lit(b"")).alias("payload")).withColumn("_digest", F.sha2("payload", 256))
-    owner = keyed.where(F.octet_length("payload") >= min_bytes).groupBy("_digest").agg(F.max("id").alias("_owner"))
+    owner = keyed.where(F.octet_length("payload") >= min_bytes).groupBy("_digest").agg(F.max("id").alias("_owner"), F.count("*").alias("_n"))
     own = F.col("_owner").isNull() | F.coalesce(F.col("id") == F.col("_owner"), F.lit(False))
-    return keyed.join(owner, "_digest", "left").select(
+    return common.spread_join(keyed, common.materialize(owner, "warc-owners"), "_digest", "_n", "left").select(
         F.coalesce(F.col("id").cast("string"), F.lit("")).alias("record_id"), "url",
         F.when(own, "response").otherwise("revisit").alias("record_type"),
         F.when(~own, F.col("_owner").cast("string")).alias("refers_to"), "payload",
@@ -201,6 +203,7 @@ def with_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, as read back from the archives."""
     pages = common.text_sources(spark, sf_dir, "pages")
     records = pages.select(F.col("page_id").cast("long").alias("id"), "url", F.col("html").cast("binary").alias("payload"))
     archives = common.materialize(write_warc(with_revisits(records), common.shared_dir(spark, "warc")), "warc-index")
