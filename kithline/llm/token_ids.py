@@ -5,11 +5,13 @@ text are the ids of its words one after the other. A word's ids are taken from a
 bounded cache; a missing word goes through the library's own model, cut into
 pieces as its file prescribes. Texts in which the cut could differ (special
 token strings, unusual white space or controls) and words with characters beyond
-the plain Latin letters are encoded by the library as a whole.
+the plain Latin letters are encoded by the library as a whole. So are all texts if
+the file normalises or cuts in another way than KNOWN_RULES say, or adds other tokens.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 from array import array
@@ -21,6 +23,30 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _RARE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PLAIN = re.compile(f"[\\n\\x20-\\x7e{_LETTER}]*")
 
+# The normaliser, the cutting and the model settings, by leading space, that the rules of this module are made for.
+KNOWN_RULES = {
+    True: {
+        "normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+        "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+    },
+    False: {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+        "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+    },
+}
+
+
+def follows_known_rules(tokenizer, lead_space: bool) -> bool:  # noqa: ANN001
+    """Whether words may be encoded one by one: the file cuts as KNOWN_RULES say, and its added tokens all hold `<|`."""
+    given, want = json.loads(tokenizer.to_str()), KNOWN_RULES[lead_space]
+    model = {k: v for k, v in given["model"].items() if k not in ("vocab", "merges")}
+    same = all(given.get(k) == want[k] for k in ("normalizer", "pre_tokenizer")) and model == want["model"]
+    return same and not given.get("truncation") and not given.get("padding") and all("<|" in t["content"] for t in given.get("added_tokens") or ())
+
 
 def _byte_chars() -> dict[int, str]:
     """The printable stand-in that byte-level vocabularies use for each byte."""
@@ -66,7 +92,7 @@ class TokenEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.lead_space = lead_space
+        self.lead_space, self.by_words = lead_space, follows_known_rules(self.tokenizer, lead_space)
         self.shown = _byte_chars()
         self.pieces = _Cache(self._piece, cache_words)
         self.words = _Cache((lambda w: self._word(w if w[:1] == "\n" else " " + w)) if lead_space else self._word, cache_words)
@@ -110,7 +136,7 @@ class TokenEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self._is_odd(text):
+        if not self.by_words or self._is_odd(text):
             return self._whole(text)
         if not self.lead_space:
             return b"".join(map(self.words.__getitem__, text.split()))

@@ -95,6 +95,7 @@ def digests(tokens: DataFrame) -> DataFrame:
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place and digest among all ids, as read back from the files."""
     import public_tokenizers
 
     path = common.shared_dir(spark, "tokens")

@@ -474,3 +474,70 @@ def test_decontamination_in_many_blocks_equals_one(spark, monkeypatch):
     for empty in (docs.limit(0), odd_docs(spark)):
         assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.clean(empty, bench).count() == empty.count()
     assert decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_url_regression_on_words_and_hosts_it_has_not_seen():
+    table = url_filter.labelled_urls()
+    rows = [(*url_filter._split(u), y) for u, y in table]
+    kind = lambda h: next(i for i, p in enumerate(("www.", ".net", "blog.", "m.", "-site.info")) if p in h)
+    seen = [r for r in rows if kind(r[0]) != 2]
+    new = [r for r in rows if kind(r[0]) == 2]
+    s = url_filter.scores(url_filter.train(seen), [h for h, _, _ in new], [p for _, p, _ in new])
+    assert np.mean((s >= 0.5) == np.array([y for *_, y in new], bool)) >= 0.97
+    made = url_filter.train(rows)
+    bad = ["best-casino-slots.biz", "poker-betting.co", "xxxporn.tv", "free-viagra-pills.org", "keygen-warez.ru", "sexcams-dating.com"]
+    good = ["city-library.gov", "university-museum.edu", "history-journal.org", "school-science.net", "weather-maps.org", "chess-archive.com"]
+    s = url_filter.scores(made, bad + good, ["/"] * 12)
+    assert (s[:6] >= 0.5).mean() >= 0.8 and (s[6:] < 0.5).mean() >= 0.8
+    assert url_filter.scores(made, [], []).shape == (0,)
+
+
+def test_other_tokenizer_files_are_encoded_by_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer as Tk
+
+    for path, lead in ((WORD, False), (BYTE, True)):
+        assert token_ids.TokenEncoder(path, lead).by_words and not token_ids.follows_known_rules(Tk.from_file(path), not lead)
+        given = json.loads(Tk.from_file(path).to_str())
+        given["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+        (tmp_path / "other.json").write_text(json.dumps(given))
+        e = token_ids.TokenEncoder(str(tmp_path / "other.json"), lead)
+        for text in ("Hello  there", "two words\nand more"):
+            assert not e.by_words and np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_token_files_have_small_groups_dictionaries_and_page_indexes(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=300))) for i in range(4000)], "doc_id long, text string")
+    token_output.write_tokens(docs, f"file://{tmp_path}/t", BYTE, 2, True, files=1, row_group_bytes=1 << 20, page_bytes=16 << 10)
+    (file,) = glob.glob(f"{tmp_path}/t/*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    ids = [c for c in range(meta.num_columns) if meta.row_group(0).column(c).path_in_schema.startswith("ids")]
+    assert meta.num_row_groups > 1
+    for g in range(meta.num_row_groups):
+        column = meta.row_group(g).column(ids[0])
+        assert "RLE_DICTIONARY" in column.encodings or "PLAIN_DICTIONARY" in column.encodings
+        assert meta.row_group(g).column(0).has_column_index and meta.row_group(g).column(0).has_offset_index
+    stored = spark.read.schema(token_output.STORED).parquet(f"file://{tmp_path}/t")
+    plan = stored.where("doc_id = 77").select("n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,77)" in plan and "ids" not in plan.split("ReadSchema")[1]
+
+
+def test_odd_and_empty_tables_of_the_remaining_operators(spark, tmp_path):
+    pages = spark.createDataFrame([(1, None), (1, None), (2, ""), (None, "http://A.b/c"), (3, "http://x/" + "y" * 300000)], "page_id long, url string").withColumn("score", F.lit("clash"))
+    rows = url_filter.judge(pages).collect()
+    assert len(rows) == 5 and all(r.verdict in ("allow", "block") for r in rows) and url_filter.judge(pages.limit(0)).count() == 0
+    none = spark.createDataFrame([], "id long, url string, payload binary")
+    made = spark.createDataFrame(warc.write_warc(warc.with_revisits(none), f"file://{tmp_path}/w").collect(), "path string, bytes long")
+    assert warc.read_warc(made).count() == 0
+    long = spark.createDataFrame([(1, "u", bytes(range(256)) * 40000), (2, "u", bytes(range(256)) * 40000)], "id long, url string, payload binary")
+    made = spark.createDataFrame(warc.write_warc(warc.with_revisits(long), f"file://{tmp_path}/l").collect())
+    assert sorted((r.record_type, r.payload_bytes) for r in warc.read_warc(made, 1 << 16).collect()) == [("response", 10240000), ("revisit", 10240000)]
+    token_output.write_tokens(odd_docs(spark).limit(0), f"file://{tmp_path}/e", BYTE, 2, True)
+    assert token_output.read_tokens(spark, f"file://{tmp_path}/e").count() == 0
