@@ -4,8 +4,11 @@ Largest inner product becomes smallest distance by one more dimension that bring
 all vectors to the length of the longest. A table hashes a vector with K functions
 floor((a.x + b) / w), a normal (2-stable). A query visits in each table its own
 bucket and those with some coordinates moved by one, ordered by the sum of squared
-distances to the crossed boundaries, the estimated success order. How many it
-visits is fitted on a bounded sample against brute force.
+distances to the crossed boundaries, the estimated success order. How many functions
+and tables there are and how many buckets a query visits is fitted on a bounded sample
+against brute force: of the choices that find enough, the one that compares the fewest
+rows and visits the fewest buckets. On vectors without structure that can be few
+functions and nearly all rows, which is never much dearer than brute force.
 
 Queries travel to buckets, not candidates to queries: a task holds a block of one
 bucket's vectors, multiplies it with the queries that visit it in double precision
@@ -16,7 +19,7 @@ one class; of a class only its 21 smallest ids can be among anyone's 20 nearest.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from itertools import combinations, product
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,23 +28,45 @@ from pyspark.sql import functions as F
 from . import common
 from .shingles import mix
 
-TABLES, WIDTH, SEED = 2, 2.0, 7
-#: The sample that the number of probes is fitted on: rows, queries among them, and the recall wanted there.
-SAMPLE_ROWS, SAMPLE_QUERIES, SAMPLE_RECALL = 8192, 256, 0.97
+#: Functions of a table and numbers of tables that are tried.
+FUNCTIONS, TABLES, WIDTH, SEED = (1, 2, 4, 6, 8, 12, 16), (1, 2, 4, 8), 2.0, 7
+#: The sample that they and the number of probes are fitted on: rows, queries among them, and the recall wanted there.
+SAMPLE_ROWS, SAMPLE_QUERIES, SAMPLE_RECALL = 8192, 128, 0.97
+#: How many comparisons a visit to a bucket costs.
+VISIT_COST = 64
+#: Buckets that a query can visit in a table at most: all moves, or those of fewest coordinates. Fitting ends there.
+MOST_PROBES = 4096
 BLOCK_ROWS = 4096
 #: Hits that a task gathers before it reduces them to each query's best.
 HELD_HITS = 400_000
 
 
+def _moves(functions: int) -> np.ndarray:
+    """Moves by -1, 0 or 1 in each coordinate, those of few coordinates first, as long as all of so many come to at most MOST_PROBES."""
+    rows, moved = [np.zeros((1, functions), np.int64)], 1
+    while moved <= functions:
+        own = []
+        for at in combinations(range(functions), moved):
+            part = np.zeros((2**moved, functions), np.int64)
+            part[:, at] = list(product((-1, 1), repeat=moved))
+            own.append(part)
+        if sum(map(len, rows)) + sum(map(len, own)) > MOST_PROBES:
+            break
+        rows += own
+        moved += 1
+    return np.concatenate(rows)
+
+
 class Index:
-    """K functions for each table, the longest vector's length and the number of probes."""
+    """K functions for each table, the longest vector's length, and the number of tables and probes."""
 
-    def __init__(self, dim: int, longest: float, functions: int, probes: int = 1) -> None:
+    def __init__(self, dim: int, longest: float, functions: int, probes: int = 1, tables: int = 2) -> None:
         rng = np.random.default_rng(SEED)
-        self.longest, self.k, self.probes = longest, functions, probes
-        self.a = rng.normal(size=(TABLES, dim + 1, functions))
-        self.b = rng.uniform(0, WIDTH, size=(TABLES, 1, functions))
-        self.moves = np.array(list(product((-1, 0, 1), repeat=functions)), np.int64)
+        self.longest, self.k, self.probes, self.tables, self.compared = longest, functions, probes, tables, 1.0
+        most = max(*TABLES, tables)
+        self.a = rng.normal(size=(most, dim + 1, functions))
+        self.b = rng.uniform(0, WIDTH, size=(most, 1, functions))
+        self.moves = _moves(functions)
 
     def _place(self, x: np.ndarray, table: int) -> np.ndarray:
         return (x @ self.a[table] + self.b[table]) / WIDTH
@@ -53,43 +78,74 @@ class Index:
             h = mix(h ^ cells[..., i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i))
         return h.view(np.int64)
 
-    def buckets(self, v: np.ndarray) -> np.ndarray:
+    def buckets(self, v: np.ndarray, tables: int | None = None) -> np.ndarray:
         """(tables, rows): the bucket of each vector."""
         x = v / self.longest
         x = np.column_stack([x, np.sqrt(np.maximum(0.0, 1 - (x * x).sum(axis=1)))])
-        return np.stack([self._key(np.floor(self._place(x, t)).astype(np.int64), t) for t in range(TABLES)])
+        return np.stack([self._key(np.floor(self._place(x, t)).astype(np.int64), t) for t in range(tables or self.tables)])
 
-    def visits(self, v: np.ndarray, probes: int | None = None) -> np.ndarray:
-        """(tables, rows, probes): the buckets each query visits, in estimated success order."""
+    def _visits_of(self, v: np.ndarray, table: int, probes: int) -> np.ndarray:
         x = np.column_stack([v / np.linalg.norm(v, axis=1, keepdims=True), np.zeros(len(v))])
         out = []
-        for t in range(TABLES):
-            at = self._place(x, t)
+        for i in range(0, len(x), 64):  # costs are held for a few queries at a time
+            at = self._place(x[i : i + 64], table)
             cell = np.floor(at)
-            low = (at - cell) ** 2
-            high = (1 - at + cell) ** 2
+            low, high = (at - cell) ** 2, (1 - at + cell) ** 2
             cost = low @ (self.moves == -1).T + high @ (self.moves == 1).T
-            best = np.argsort(cost, axis=1, kind="stable")[:, : probes or self.probes]
-            out.append(self._key(cell.astype(np.int64)[:, None, :] + self.moves[best], t))
-        return np.stack(out)
+            best = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+            out.append(self._key(cell.astype(np.int64)[:, None, :] + self.moves[best], table))
+        return np.concatenate(out)
+
+    def visits(self, v: np.ndarray) -> np.ndarray:
+        """(tables, rows, probes): the buckets each query visits, in estimated success order."""
+        return np.stack([self._visits_of(v, t, self.probes) for t in range(self.tables)])
+
+    @classmethod
+    def fitted(cls, sample: np.ndarray, longest: float, k: int, rows: int, functions: tuple[int, ...] = FUNCTIONS) -> Index:
+        """The cheapest of the indexes with so many functions for a table of so many rows."""
+        made = [cls(sample.shape[1], longest, f) for f in functions]
+        costs = [index.fit(sample, k, rows) for index in made]
+        return made[min(range(len(made)), key=lambda i: (costs[i], functions[i]))]
+
+    def fit(self, sample: np.ndarray, k: int, rows: int) -> tuple:
+        """Takes the tables and probes, powers of two, that find enough of the sample's neighbours at the least cost, which is returned.
 
-    def fit(self, sample: np.ndarray, k: int) -> None:
-        """Takes the least number of probes, a power of two, that finds enough of the sample's neighbours."""
+        compared becomes the share of the sample's rows that a query is compared with (a row
+        met in two tables counts twice). Where no choice finds enough, the one that finds most.
+        """
         queries = sample[:SAMPLE_QUERIES]
         if len(sample) < 2:
-            return
+            return (False, 0.0, 1, 1)
         scores = queries @ sample.T
         scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
         true = np.argsort(-scores, axis=1)[:, : min(k, len(sample) - 1)]
-        own, most = self.buckets(sample), 3**self.k
-        visits, self.probes = self.visits(queries, most), 1
-        while True:
-            found = np.zeros(true.shape, bool)
-            for t in range(TABLES):
-                found |= (own[t][true][:, :, None] == visits[t][:, None, : self.probes]).any(axis=2)
-            if found.mean() >= SAMPLE_RECALL or self.probes >= most:
-                return
-            self.probes = min(2 * self.probes, most)
+        own, best, steps = self.buckets(sample, max(TABLES)), None, [1]
+        while steps[-1] < len(self.moves):
+            steps.append(min(2 * steps[-1], len(self.moves)))
+        found = {p: np.zeros(true.shape, bool) for p in steps}
+        compared = dict.fromkeys(steps, 0.0)
+        for t in range(max(TABLES)):
+            keys, size = np.unique(own[t], return_counts=True)
+            visits = self._visits_of(queries, t, len(self.moves))
+            at = np.searchsorted(keys, visits)
+            at[at == len(keys)] = 0
+            there = np.where(keys[at] == visits, size[at], 0)
+            where = np.full(true.shape, len(self.moves))
+            for i in range(len(queries)):  # at which probe each true neighbour is met
+                order = np.argsort(visits[i], kind="stable")
+                pos = np.minimum(np.searchsorted(visits[i][order], own[t][true[i]]), len(order) - 1)
+                where[i] = np.where(visits[i][order][pos] == own[t][true[i]], order[pos], len(self.moves))
+            for p in steps:
+                found[p] |= where < p
+                compared[p] += there[:, :p].sum() / len(queries) / len(sample)
+                if t + 1 in TABLES:
+                    recall = found[p].mean()
+                    cost = compared[p] * rows + VISIT_COST * (t + 1) * p
+                    choice = (bool(recall < SAMPLE_RECALL), cost if recall >= SAMPLE_RECALL else -recall, t + 1, p)
+                    if best is None or choice < best:
+                        best, self.compared = choice, compared[p]
+        self.tables, self.probes = best[2], best[3]
+        return best
 
 
 def _best(query: np.ndarray, cid: np.ndarray, score: np.ndarray, keep: int) -> tuple[np.ndarray, ...]:
@@ -124,7 +180,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, functions: int | N
 
     Vectors that are null, zero, hold a null or non-finite component or differ in length
     from most others take no part, nor do rows without an id. A repeated id counts once for
-    each distinct vector. An empty table gives no rows.
+    each distinct vector, repeated rows once. Of equal scores the smaller id comes first. An
+    empty table gives no rows.
     """
     rows = _valid(vectors)
     dim_row = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -134,14 +191,13 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, functions: int | N
     classes = ranked.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("cid", F.col("ids")[0])
     classes = common.materialize(classes.select("cid", "ids", F.transform("embedding", lambda x: x.cast("double")).alias("v"), "embedding"), "ann-classes")
     n, longest = classes.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    functions = functions or (4 + max(0, round(np.log(max(n, 1) / 1e5) / np.log(3))))
-    index = Index(dim, longest or 1.0, min(functions, 10))
     sample = [r[0] for r in classes.where(common.among_least(F.xxhash64("cid"), n, SAMPLE_ROWS)).orderBy(F.xxhash64("cid"), "cid").select("v").limit(SAMPLE_ROWS).toLocalIterator()]
-    if sample:
-        index.fit(np.array(sample), k)
+    tried = (functions,) if functions else FUNCTIONS
+    index = Index.fitted(np.array(sample), longest, k, n, tried) if sample else Index(dim, 1.0, tried[0])
 
-    asked = rows.where(F.col("vec_id") % every == 0).distinct().join(classes.select("cid", "embedding"), "embedding").select("vec_id", "cid")
-    asked = common.materialize(asked, "ann-queries")
+    asked = rows.where(F.col("vec_id") % every == 0).distinct()
+    alike = common.materialize(asked.groupBy("embedding").agg(F.count("*").alias("_n")).join(classes.select("cid", "embedding"), "embedding"), "ann-asked")
+    asked = common.materialize(common.spread_join(asked, alike, "embedding", "_n").select("vec_id", "cid"), "ann-queries")
     query_vectors = classes.join(asked.select("cid").distinct(), "cid", "left_semi").select("cid", "v")
 
     def spread(kind: int):
@@ -230,11 +286,18 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, functions: int | N
     def first(df: DataFrame, key: str, by: str, many: int, name: str = "_rank") -> DataFrame:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), by))).where(F.col(name) <= many)
 
-    hits = hits.join(classes.select("cid", "ids"), "cid").select("query", "score", F.explode("ids").alias("vec_id"))
-    hits = common.materialize(first(hits, "query", "vec_id", k + 1).drop("_rank"), "ann-hits")
-    out = asked.withColumnRenamed("vec_id", "query_id").join(hits, F.col("cid") == F.col("query")).where("query_id <> vec_id")
-    return first(out, "query_id", "vec_id", k, "rank").select("query_id", "rank", "vec_id", "score")
+    hits = common.materialize(hits, "ann-found")
+    met = common.materialize(hits.groupBy("cid").agg(F.count("*").alias("_n")).join(classes.select("cid", "ids"), "cid"), "ann-met")
+    hits = common.spread_join(hits, met, "cid", "_n").select("query", "score", F.explode("ids").alias("vec_id"))
+    lists = first(hits, "query", "vec_id", k + 1).groupBy("query").agg(F.collect_list(F.struct("vec_id", "score")).alias("_hits"))
+    lists = asked.groupBy("cid").agg(F.count("*").alias("_n")).join(lists.withColumnRenamed("query", "cid"), "cid")
+    # each query takes its class's list, without itself
+    out = common.spread_join(asked, common.materialize(lists, "ann-lists"), "cid", "_n")
+    own = F.array_sort(F.transform(F.filter("_hits", lambda h: h["vec_id"] != F.col("vec_id")), lambda h: F.struct((-h["score"]).alias("less"), h["vec_id"].alias("vec_id"), h["score"].alias("score"))))
+    out = out.select(F.col("vec_id").alias("query_id"), F.posexplode(F.slice(own, 1, k)).alias("rank", "_hit"))
+    return out.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("_hit.vec_id").alias("vec_id"), F.col("_hit.score").alias("score"))
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
     return nearest(common.text_sources(spark, sf_dir, "embeddings"))

@@ -541,3 +541,29 @@ def test_odd_and_empty_tables_of_the_remaining_operators(spark, tmp_path):
     assert sorted((r.record_type, r.payload_bytes) for r in warc.read_warc(made, 1 << 16).collect()) == [("response", 10240000), ("revisit", 10240000)]
     token_output.write_tokens(odd_docs(spark).limit(0), f"file://{tmp_path}/e", BYTE, 2, True)
     assert token_output.read_tokens(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_neighbours_rank_ties_by_id_and_ignore_repeated_rows(spark):
+    rows = [(i, [1.0, float(i % 3)]) for i in range(60)] * 2
+    out = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=25).orderBy("query_id", "rank").collect()
+    for q in (0, 20, 40):
+        got = [(r.rank, r.vec_id, r.score) for r in out if r.query_id == q]
+        want = sorted(((-(1.0 + (q % 3) * (i % 3)), i) for i in range(60) if i != q))[:25]
+        assert got == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
+def test_probing_compares_few_rows_where_vectors_lie_in_groups():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(300, 32))
+    x = centres[rng.integers(300, size=6000)] + 0.05 * rng.normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)  # as embeddings mostly are
+    index = neighbours.Index.fitted(x, float(np.linalg.norm(x, axis=1).max()), 20, len(x) * 100)
+    own, visits, scores = index.buckets(x[:200]), index.visits(x[:40]), x[:40] @ x.T
+    assert index.compared < 0.3 and visits.shape[2] <= neighbours.MOST_PROBES
+    all_own = index.buckets(x)
+    found = []
+    for i in range(40):
+        true = [j for j in np.argsort(-scores[i]) if j != i][:20]
+        found.append(np.mean([any(all_own[t][j] in visits[t][i] for t in range(index.tables)) for j in true]))
+    assert np.mean(found) >= 0.9 and own.shape == (index.tables, 200)
+    assert len(neighbours._moves(4)) == 81 and len(neighbours._moves(20)) <= neighbours.MOST_PROBES
