@@ -28,14 +28,15 @@ from pyspark.sql import functions as F
 from . import common
 from .shingles import mix
 
-#: Functions of a table and numbers of tables that are tried.
-FUNCTIONS, TABLES, WIDTH, SEED = (1, 2, 4, 6, 8, 12, 16), (1, 2, 4, 8), 2.0, 7
+#: Functions of a table with the width of their cells, and numbers of tables, that are tried.
+SHAPES = ((1, 2.0), (2, 2.0), (4, 2.0), (6, 2.0), (8, 2.0), (4, 0.5), (8, 0.5), (12, 0.5), (16, 0.5))
+TABLES, SEED = (1, 2, 4, 8), 7
 #: The sample that they and the number of probes are fitted on: rows, queries among them, and the recall wanted there.
-SAMPLE_ROWS, SAMPLE_QUERIES, SAMPLE_RECALL = 8192, 128, 0.97
+SAMPLE_ROWS, SAMPLE_QUERIES, SAMPLE_RECALL = 8192, 96, 0.97
 #: How many comparisons a visit to a bucket costs.
 VISIT_COST = 64
 #: Buckets that a query can visit in a table at most: all moves, or those of fewest coordinates. Fitting ends there.
-MOST_PROBES = 4096
+MOST_PROBES = 2048
 BLOCK_ROWS = 4096
 #: Hits that a task gathers before it reduces them to each query's best.
 HELD_HITS = 400_000
@@ -60,16 +61,16 @@ def _moves(functions: int) -> np.ndarray:
 class Index:
     """K functions for each table, the longest vector's length, and the number of tables and probes."""
 
-    def __init__(self, dim: int, longest: float, functions: int, probes: int = 1, tables: int = 2) -> None:
+    def __init__(self, dim: int, longest: float, functions: int, width: float, probes: int = 1, tables: int = 2) -> None:
         rng = np.random.default_rng(SEED)
-        self.longest, self.k, self.probes, self.tables, self.compared = longest, functions, probes, tables, 1.0
+        self.longest, self.k, self.width, self.probes, self.tables, self.compared = longest, functions, width, probes, tables, 1.0
         most = max(*TABLES, tables)
         self.a = rng.normal(size=(most, dim + 1, functions))
-        self.b = rng.uniform(0, WIDTH, size=(most, 1, functions))
+        self.b = rng.uniform(0, width, size=(most, 1, functions))
         self.moves = _moves(functions)
 
     def _place(self, x: np.ndarray, table: int) -> np.ndarray:
-        return (x @ self.a[table] + self.b[table]) / WIDTH
+        return (x @ self.a[table] + self.b[table]) / self.width
 
     @staticmethod
     def _key(cells: np.ndarray, table: int) -> np.ndarray:
@@ -101,11 +102,11 @@ class Index:
         return np.stack([self._visits_of(v, t, self.probes) for t in range(self.tables)])
 
     @classmethod
-    def fitted(cls, sample: np.ndarray, longest: float, k: int, rows: int, functions: tuple[int, ...] = FUNCTIONS) -> Index:
-        """The cheapest of the indexes with so many functions for a table of so many rows."""
-        made = [cls(sample.shape[1], longest, f) for f in functions]
+    def fitted(cls, sample: np.ndarray, longest: float, k: int, rows: int, shapes: tuple[tuple[int, float], ...] = SHAPES) -> Index:
+        """The cheapest of the indexes of these shapes for a table of so many rows."""
+        made = [cls(sample.shape[1], longest, *shape) for shape in shapes]
         costs = [index.fit(sample, k, rows) for index in made]
-        return made[min(range(len(made)), key=lambda i: (costs[i], functions[i]))]
+        return made[min(range(len(made)), key=lambda i: (costs[i], i))]
 
     def fit(self, sample: np.ndarray, k: int, rows: int) -> tuple:
         """Takes the tables and probes, powers of two, that find enough of the sample's neighbours at the least cost, which is returned.
@@ -175,7 +176,7 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return rows
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, functions: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shapes: tuple[tuple[int, float], ...] = SHAPES) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of each row whose vec_id is divisible by every.
 
     Vectors that are null, zero, hold a null or non-finite component or differ in length
@@ -192,8 +193,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, functions: int | N
     classes = common.materialize(classes.select("cid", "ids", F.transform("embedding", lambda x: x.cast("double")).alias("v"), "embedding"), "ann-classes")
     n, longest = classes.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
     sample = [r[0] for r in classes.where(common.among_least(F.xxhash64("cid"), n, SAMPLE_ROWS)).orderBy(F.xxhash64("cid"), "cid").select("v").limit(SAMPLE_ROWS).toLocalIterator()]
-    tried = (functions,) if functions else FUNCTIONS
-    index = Index.fitted(np.array(sample), longest, k, n, tried) if sample else Index(dim, 1.0, tried[0])
+    index = Index.fitted(np.array(sample), longest, k, n, shapes) if sample else Index(dim, 1.0, *shapes[0])
 
     asked = rows.where(F.col("vec_id") % every == 0).distinct()
     alike = common.materialize(asked.groupBy("embedding").agg(F.count("*").alias("_n")).join(classes.select("cid", "embedding"), "embedding"), "ann-asked")
