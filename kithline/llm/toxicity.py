@@ -28,9 +28,9 @@ from .shingles import binary_rows
 
 #: The labelled rows that training takes at most: those of the least hash, and none whose text has over TEXT_BYTES.
 TOXIC_ROWS, ORDINARY_ROWS, TEXT_BYTES = 2000, 3000, 32 << 10
-WINDOW = 24
+WINDOW = 32
 #: Pairs of dictionaries, and the bytes of a dictionary's own part and of the ordinary part that a pair shares.
-PAIRS, OWN_BYTES, BASE_BYTES = 4, 2 << 10, 16 << 10
+PAIRS, OWN_BYTES, BASE_BYTES = 3, 3 << 10, 16 << 10
 #: Thresholds of the bytes saved, summed over all pairs.
 SAVED, LOST = (1, 2, 3, 4, 6, 8, 10, 12), (1, 2, 4)
 #: A dictionary is trained on at most so many windows (about 1 MB), from all rows: those of the least checksum of their row up to their end.
