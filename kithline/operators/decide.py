@@ -58,3 +58,17 @@ def by_country(pairs: DataFrame, spine: DataFrame, rules: dict[str, tuple[str, f
         kept = kept.join(placed.where(mine).select("q", "s1", "country"), ["q", "s1"])
         out = kept if out is None else out.unionByName(kept)
     return out
+
+
+ALPHAS = (0.5, 0.75, 1.0, 1.5, 2.0)
+
+
+def rules(pairs: DataFrame, truth: DataFrame, spine: DataFrame, grid: tuple[float, ...] = GRID, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
+    """rule, value, score and chosen of every threshold of the grid and every alpha of the expected-F rule; chosen is the best (of equals the threshold, then the smaller value)."""
+    from .evaluate import macro_f05
+
+    out = sweep(pairs, truth, spine, grid).select(F.lit("threshold").alias("rule"), F.col("t").alias("value"), "score")
+    for a in alphas:
+        out = out.unionByName(macro_f05(spine, truth, expected_f(pairs, a)).select(F.lit("expected").alias("rule"), F.lit(float(a)).alias("value"), "score"))
+    best = Window.partitionBy().orderBy(F.desc(F.round("score", 9)), F.desc("rule"), "value")  # a row for each rule
+    return out.withColumn("chosen", F.row_number().over(best) == 1)

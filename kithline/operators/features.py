@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import all_scores
+from . import similarity
 from .windows import with_margins
 
-MARGINS = ("name_tset", "core_tset", "sq_partial", "addr_tset", "nums_tset", "tfidf")
+MARGINS = ("emb", "emb_name", "emb_addr", "name_tset", "core_tset", "sq_partial", "addr_tset", "nums_tset", "tfidf")
 
 
 def joined(pairs: DataFrame, recs: DataFrame, columns: list[str]) -> DataFrame:
@@ -40,10 +41,17 @@ TEXT = ["name_n", "name_alt", "name_core", "name_sq", "addr_n", "nums", "src", "
 
 
 def full(pairs: DataFrame, recs: DataFrame) -> DataFrame:
-    """All features of candidate pairs (q, s1, tfidf, rank); the texts are dropped at the end."""
-    out = pairwise(joined(pairs, recs, TEXT)).withColumns(lengths("q") | lengths("s1"))
+    """All features of candidate pairs (q, s1, tfidf, rank, emb, emb_rank); texts and vectors are dropped at the end.
+
+    recs are records with bag and vectors (similarity.encoded): the vectors of either side
+    give emb_name and emb_addr, names and addresses the scores and the rarity features.
+    """
+    both = joined(pairs, recs, [*TEXT, "emb_name", "emb_addr"])
+    both = both.withColumns({c: similarity.dot(F.col(f"q_{c}"), F.col(f"s1_{c}")) for c in ("emb_name", "emb_addr")}).drop(*[f"{p}_{c}" for p in ("q", "s1") for c in ("emb_name", "emb_addr")])
+    out = pairwise(both).withColumns(lengths("q") | lengths("s1"))
     drop = [f"{p}_{c}" for p in ("q", "s1") for c in TEXT if (p, c) not in {("q", "src"), ("q", "is_domain"), ("q", "name_nonascii"), ("q", "addr_empty"), ("s1", "addr_empty")}]
-    return popularity(with_margins(out.drop(*drop), list(MARGINS)))
+    out = popularity(with_margins(out.drop(*drop), list(MARGINS)))
+    return out.join(similarity.rarity(recs, pairs.select("q", "s1")), ["q", "s1"])
 
 
 def feature_names(df: DataFrame) -> list[str]:

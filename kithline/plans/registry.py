@@ -419,6 +419,11 @@ def _(t: Tables) -> DataFrame:
     return decide.best_per_q(t.pairs())
 
 
+@query("sort_pairs", "pairs", "select q, s1, p from pairs order by q, p desc, s1")
+def _(t: Tables) -> DataFrame:
+    return t.pairs().orderBy("q", F.desc("p"), "s1")
+
+
 @query("limit_n", "pairs", "select q, s1, p from pairs order by p desc, q, s1 limit 100")
 def _(t: Tables) -> DataFrame:
     return t.pairs().orderBy(F.desc("p"), "q", "s1").limit(100)
@@ -633,7 +638,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("feat_full")
 def _(t: Tables) -> DataFrame:
-    return features.full(*_candidates(t))
+    pairs, recs = _blocked(t)
+    return features.full(io.rewritten(pairs, "pairs"), recs)
 
 
 @query("feat_margins", "margins", "select q, s1, case when abs(p_margin) < 0.0000005 then 0 else round(p_margin, 6) end as p_margin, case when abs(p_margin) < 0.0000002 then 0 else round(2 * p_margin, 6) end as p2_margin from margins")
@@ -840,11 +846,35 @@ def _metric(pred: str) -> str:
     (select count(*) from {pred} p join truth on truth.q = p.q and truth.s1 = p.s1 where p.s1 = s.s1) as tp from spine s))"""
 
 
-@query("choose_rule", "spine truth pred expected", f"select 'threshold' as rule, round({_metric('pred')}, 6) as score union all select 'expected' as rule, round({_metric('expected')}, 6) as score")
+def _alpha(a: float) -> str:
+    """The matches of the expected-F rule with one alpha, as a subquery."""
+    return f"""(select q, s1 from (select *, max(ef) over (partition by s1) as top, min(case when ef = m then k end) over (partition by s1) as k_top from (
+        select *, max(ef) over (partition by s1) as m from (select o.q, o.s1, k, 1.25 * cum / (0.25 * e_true + k) as ef, p_none from (
+        select *, row_number() over (partition by s1 order by pp desc, q) as k, sum(pp) over (partition by s1 order by pp desc, q rows between unbounded preceding and current row) as cum from (
+        select *, row_number() over (partition by q order by pp desc, s1) as rn from {_sharp(a)}) where rn = 1) o
+        join (select s1, sum(pp) as e_true, exp(sum(ln(1 - pp))) as p_none from {_sharp(a)} group by s1) t on t.s1 = o.s1))) where top > p_none and k <= k_top)"""
+
+
+def _sharp(a: float) -> str:
+    return f"(select *, pow(least(greatest(p, cast(0.000001 as double)), 1 - cast(0.000001 as double)), cast({a} as double)) as pp from pairs)"
+
+
+def _scored_rule(a: float) -> str:
+    counts = f"""select s.s1, coalesce(t_n, 0) as t_n, coalesce(p_n, 0) as p_n, coalesce(tp, 0) as tp from spine s left join (select s1, count(*) as t_n from truth group by s1) t on t.s1 = s.s1
+        left join (select x.s1, count(*) as p_n, count(truth.q) as tp from {_alpha(a)} x left join truth on truth.q = x.q and truth.s1 = x.s1 group by x.s1) p on p.s1 = s.s1"""
+    return f"select 'expected' as rule, cast({a} as double) as value, avg({_F}) as score from ({counts})"
+
+
+_ALL_RULES = f"""select rule, value, round(score, 6) as score, row_number() over (order by round(score, 9) desc, rule desc, value) = 1 as chosen from (
+    select 'threshold' as rule, t as value, avg({_F}) as score from (
+    select g.t, s.s1, coalesce(any_value(x.n), 0) as t_n, count(b.q) as p_n, count(tr.q) as tp from spine s cross join (select cast(round(k * 0.05, 2) as double) as t from range(1, 20) r(k)) g
+    left join (select s1, count(*) as n from truth group by s1) x on x.s1 = s.s1 left join best b on b.s1 = s.s1 and b.p >= g.t left join truth tr on tr.q = b.q and tr.s1 = b.s1 group by g.t, s.s1) group by t
+    union all {' union all '.join(_scored_rule(a) for a in decide.ALPHAS)})"""
+
+
+@query("choose_rule", "spine truth best", _ALL_RULES)
 def _(t: Tables) -> DataFrame:
-    pairs, truth, spine = t.pairs(), t.truth(), t.spine()
-    out = [evaluate.macro_f05(spine, truth, p).select(F.lit(n).alias("rule"), r6("score")) for n, p in (("threshold", decide.threshold(pairs, 0.5)), ("expected", decide.expected_f(pairs, 1.5)))]
-    return out[0].unionByName(out[1])
+    return decide.rules(t.pairs(), t.truth(), t.spine()).select("rule", "value", r6("score"), "chosen")
 
 
 _RULES = {"EUROPE": ("threshold", 0.9), "ASIA": ("threshold", 0.3)}
@@ -871,8 +901,21 @@ def _(t: Tables) -> DataFrame:
     return evaluate.macro_f05_sets(t.spine(), t.truth(), decide.threshold(t.pairs(), 0.5)).select(r6("score"))
 
 
-for _name in ("macro_f05_vec", "load_eval"):
-    query(_name, "counts", f"select round(avg({_F}), 6) as score from counts")(lambda t: evaluate.macro_f05(t.spine(), t.truth(), decide.threshold(t.pairs(), 0.5)).select(r6("score")))
+query("macro_f05_vec", "counts", f"select round(avg({_F}), 6) as score from counts")(lambda t: evaluate.macro_f05(t.spine(), t.truth(), decide.threshold(t.pairs(), 0.5)).select(r6("score")))
+
+
+@query("load_eval", "spine truth", "select spine.s1, country, truth.q from spine left join truth on truth.s1 = spine.s1")
+def _(t: Tables) -> DataFrame:
+    return t.spine().join(t.truth(), "s1", "left").select("s1", "country", "q")
+
+
+@query("score_kept", "counts", f"select country, round(avg({_F}), 6) as score from counts group by country union all select 'all', round(avg({_F}), 6) from counts")
+def _(t: Tables) -> DataFrame:
+    pairs, truth, spine = t.pairs(), t.truth(), t.spine()
+    kept = decide.threshold(pairs, 0.5)
+    scored = evaluate.counts(spine, truth, kept).withColumn("_f", evaluate.f05("t_n", "p_n", "tp"))
+    # a cube over one column: each country, and all of them
+    return scored.cube("country").agg(F.avg("_f").alias("score"), F.grouping("country").alias("_all")).select(F.when(F.col("_all") == 1, "all").otherwise(F.col("country")).alias("country"), r6("score"))
 
 
 @query("score_by_country", "counts", f"select country, round(avg({_F}), 4) as score from counts group by country")
