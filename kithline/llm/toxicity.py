@@ -30,7 +30,7 @@ from .shingles import binary_rows
 TOXIC_ROWS, ORDINARY_ROWS, TEXT_BYTES = 2000, 3000, 32 << 10
 WINDOW = 32
 #: Pairs of dictionaries, and the bytes of a dictionary's own part and of the ordinary part that a pair shares.
-PAIRS, OWN_BYTES, BASE_BYTES = 3, 3 << 10, 16 << 10
+PAIRS, OWN_BYTES, BASE_BYTES = 4, 4 << 10, 16 << 10
 #: Thresholds of the bytes saved, summed over all pairs.
 SAVED, LOST = (1, 2, 3, 4, 6, 8, 10, 12), (1, 2, 4)
 #: A dictionary is trained on at most so many windows (about 1 MB), from all rows: those of the least checksum of their row up to their end.
@@ -64,7 +64,7 @@ def _windows(b: np.ndarray) -> np.ndarray:
 
 
 class ToxicityModel:
-    """The dictionaries' contents by pair, the kinds' mean and axes and the regression's weights; about 150 kilobytes."""
+    """The dictionaries' contents by pair, the kinds' mean and axes and the regression's weights; about 170 kilobytes."""
 
     def __init__(self, pairs: list[tuple[bytes, bytes]], weights: np.ndarray, prior: float) -> None:
         self.pairs, self.weights, self.prior = pairs, weights, prior
