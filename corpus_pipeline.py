@@ -26,7 +26,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group linked by five-word shingles at a similarity of 0.8."""
+    """Keeps one row, of the smallest id, of each group linked by five-word shingles at a similarity of 0.8."""
     return near_dedup.keep_one(docs)
 
 
@@ -49,7 +49,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("decontamination", drop_benchmark),
     ("packing", pack),
 ]
-#: Trained stages can't be said in SQL; tests hold each stage against a brute-force version.
+#: Trained stages can't be said in SQL. Tests hold near duplicates, benchmark and packing against brute force, and the trained models by their accuracy on held-out rows.
 ORACLE_SQL: str | None = None
 
 
