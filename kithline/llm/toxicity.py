@@ -1,22 +1,28 @@
 """Toxicity by compression distance.
 
 Several pairs of zstandard dictionaries are trained from a bounded sample of labelled
-rows, each pair on another three quarters of it: one dictionary on ordinary and one on
-toxic text, both ending with the same larger dictionary of ordinary text, so that what
-is common to all writing costs alike in both. A text is cut at white space into windows
-of some WINDOW bytes; each is compressed with every dictionary, and the bytes by which
-its toxic dictionaries beat its ordinary ones are summed over the pairs, which evens out
-what one trainer's choice of segments does by chance. Windows are counted over several
-thresholds, and a logistic regression fitted on sample rows that no dictionary has seen
-turns these counts into a probability. It weighs them by the text's kind of writing too
-(a few components of its byte frequencies), as kinds of writing compress differently.
+rows, each pair on another part of it: one dictionary on ordinary and one on toxic text,
+both ending with the same larger dictionary of ordinary text, so that what is common to
+all writing costs alike in both. Most of a toxic text is ordinary, so some of the pairs
+are trained on mined windows: pairs that have not seen a row tell by how many bytes their
+toxic dictionary beats the ordinary one on each of its short windows, the windows where it
+does so by most are kept, and new pairs are trained on these, in rounds that keep less and
+less. Ordinary rows are mined alike, which teaches the ordinary dictionaries what looks
+toxic and is not.
+
+To score a text, it is cut at white space into windows of some WINDOW bytes; each is
+compressed with every dictionary, and the bytes by which its toxic dictionaries beat its
+ordinary ones are summed over the pairs, which evens out what one trainer's choice of
+segments does by chance. Windows are counted over several thresholds, and a logistic
+regression fitted on sample rows that no dictionary has seen turns these counts into a
+probability. It weighs them by the text's kind of writing too (a few components of its
+byte frequencies), as kinds of writing compress differently.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from heapq import nsmallest
-from itertools import pairwise
 from zlib import crc32
 
 import numpy as np
@@ -29,8 +35,10 @@ from .shingles import binary_rows
 #: The labelled rows that training takes at most: those of the least hash, and none whose text has over TEXT_BYTES.
 TOXIC_ROWS, ORDINARY_ROWS, TEXT_BYTES = 2000, 3000, 32 << 10
 WINDOW = 32
-#: Pairs of dictionaries, and the bytes of a dictionary's own part and of the ordinary part that a pair shares.
-PAIRS, OWN_BYTES, BASE_BYTES = 4, 4 << 10, 16 << 10
+#: Pairs trained on mined and on all windows, and the bytes of a dictionary's own part and of the ordinary part that a pair shares.
+MINED_PAIRS, WHOLE_PAIRS, OWN_BYTES, BASE_BYTES = 2, 2, 4 << 10, 16 << 10
+#: Bytes of a window that is mined, the parts of the rows by which pairs take turns in mining, and the share of each toxic and ordinary row kept by round.
+MINE_WINDOW, FOLDS, ROUNDS = 12, 5, ((0.5, 0.5), (0.3, 0.3), (0.15, 0.1))
 #: Thresholds of the bytes saved, summed over all pairs.
 SAVED, LOST = (1, 2, 3, 4, 6, 8, 10, 12), (1, 2, 4)
 #: A dictionary is trained on at most so many windows (about 1 MB), from all rows: those of the least checksum of their row up to their end.
@@ -55,14 +63,54 @@ def _frequencies(rows: list[np.ndarray]) -> np.ndarray:
     return np.sqrt(h)
 
 
-def _windows(b: np.ndarray) -> np.ndarray:
+def _windows(b: np.ndarray, size: int = WINDOW) -> np.ndarray:
     """Where the windows of one text start; its end is not among them."""
     seps = np.flatnonzero(_SEP[b])
-    at = np.searchsorted(seps, np.arange(WINDOW, len(b), WINDOW))
+    at = np.searchsorted(seps, np.arange(size, len(b), size))
     cuts = np.unique(seps[at[at < len(seps)]])
     return np.concatenate([[0], cuts])
 
 
+class _Sample:
+    """Training rows of one kind of text, lower-cased, and the windows (start, end) that dictionaries are trained on."""
+
+    def __init__(self, texts: list[bytes], windows: list[np.ndarray], size: int) -> None:
+        self.texts, self.windows, self.size = texts, windows, size
+
+    @classmethod
+    def cut(cls, texts: list[bytes], size: int = WINDOW) -> _Sample:
+        starts = ((_windows(np.frombuffer(t, np.uint8), size), len(t)) for t in texts)
+        return cls(texts, [np.stack([s, np.append(s[1:], n)], axis=1).astype(np.int32) for s, n in starts], size)
+
+    def fold(self, fold: int, folds: int) -> list[int]:
+        return list(range(fold, len(self.texts), folds))
+
+    def without(self, fold: int, folds: int) -> _Sample:
+        """All rows but one fold's, or all if no others are left."""
+        rows = [i for i in range(len(self.texts)) if i % folds != fold] or range(len(self.texts))
+        return _Sample([self.texts[i] for i in rows], [self.windows[i] for i in rows], self.size)
+
+    def best(self, saved: list[np.ndarray], share: float) -> _Sample:
+        """The share of each row's windows that were saved most, one at least; none that was not saved anything."""
+        kept = []
+        for w, s in zip(self.windows, saved, strict=True):
+            most = np.argsort(-s, kind="stable")[: max(1, round(len(s) * share))]
+            kept.append(w[np.sort(most[s[most] > 0])])
+        return _Sample(self.texts, kept, self.size)
+
+    def pieces(self) -> list[bytes]:
+        """All windows or, beyond PIECES of WINDOW bytes or as many bytes of others, a sample of these."""
+
+        def checked() -> Iterator[tuple[int, bytes]]:
+            for t, windows in zip(self.texts, self.windows, strict=True):
+                sum_so_far = 0
+                for a, b in windows.tolist():
+                    sum_so_far = crc32(t[a:b], sum_so_far)
+                    yield sum_so_far, t[a:b]
+
+        return [p for _, p in nsmallest(PIECES * WINDOW // self.size, checked())]
+
+
 class ToxicityModel:
     """The dictionaries' contents by pair, the kinds' mean and axes and the regression's weights; about 170 kilobytes."""
 
@@ -142,12 +190,11 @@ class ToxicityModel:
         (toxic_own, toxic_cal), (plain_own, plain_cal) = held(toxic), held(ordinary)
         if not toxic_own or not plain_own:
             return cls([], np.empty(0), rate)
-        pairs = []
-        for pair in range(PAIRS):
-            # each row is left out of one pair, unless there are too few to leave any out
-            part = lambda rows, p=pair: [r.lower() for i, r in enumerate(rows) if i % PAIRS != p] or [r.lower() for r in rows]
-            base, ordinary_part = cls._trained(part(plain_own), (BASE_BYTES, OWN_BYTES))
-            pairs.append((ordinary_part + base, cls._trained(part(toxic_own))[0] + base))
+        plain_rows, toxic_rows = ([r.lower() for r in rows] for rows in (plain_own, toxic_own))
+        plain_whole, toxic_whole = _Sample.cut(plain_rows), _Sample.cut(toxic_rows)
+        plain_mined, toxic_mined = cls._mined(plain_whole, toxic_whole, rate)
+        bases = cls._bases(plain_whole, MINED_PAIRS)
+        pairs = cls._pairs(plain_mined, toxic_mined, bases) + cls._pairs(plain_whole, toxic_whole, bases)[:WHOLE_PAIRS]
         model = cls(pairs, np.empty(0), rate)
         seen_rows = _frequencies([np.frombuffer(t, np.uint8) for t in (*toxic_own, *plain_own)])
         model.middle = seen_rows.mean(axis=0)
@@ -159,28 +206,57 @@ class ToxicityModel:
         model.weights = _regression(model.features(texts), y, weight)
         return model
 
+    @classmethod
+    def _mined(cls, plain: _Sample, toxic: _Sample, rate: float) -> tuple[_Sample, _Sample]:
+        """The short windows of both kinds of rows that look most toxic to pairs that have not seen the row."""
+        bases = cls._bases(plain, FOLDS)
+        every = plain, toxic = [_Sample.cut(s.texts, MINE_WINDOW) for s in (plain, toxic)]
+        for shares in ROUNDS:
+            models = [cls([pair], np.empty(0), rate) for pair in cls._pairs(plain, toxic, bases)]
+            toxic, plain = (s.best(cls._savings(models, s), share) for s, share in zip(reversed(every), shares, strict=True))
+        return plain, toxic
+
     @staticmethod
-    def _trained(texts: list[bytes], sizes: tuple[int, ...] = (OWN_BYTES,)) -> list[bytes]:
-        """The contents of dictionaries trained on all windows of the texts or, beyond PIECES, on a sample of these."""
-        import zstandard as z
+    def _savings(models: list[ToxicityModel], sample: _Sample) -> list[np.ndarray]:
+        """What each window of the sample's rows saves with the model that has not seen the row; the windows make up whole texts."""
+        saved: list = [None] * len(sample.texts)
+        for fold, model in enumerate(models):
+            rows = sample.fold(fold, len(models))
+            ends = np.cumsum([len(sample.texts[i]) for i in rows])
+            for step in np.split(np.array(rows, int), np.flatnonzero(np.diff(ends // STEP_BYTES)) + 1):
+                if len(step):
+                    data = b"".join(sample.texts[i] for i in step)
+                    n = np.concatenate([sample.windows[i][:, 1] - sample.windows[i][:, 0] for i in step]).astype(np.int64)
+                    got = model.saved(data, np.stack([np.cumsum(n) - n, n], axis=1).astype(np.uint64))
+                    for i, part in zip(step, np.split(got, np.cumsum([len(sample.windows[i]) for i in step])[:-1]), strict=True):
+                        saved[i] = part
+        return saved
 
-        def windows() -> Iterator[tuple[int, bytes]]:
-            for t in texts:
-                sum_so_far = 0
-                for a, b in pairwise([*_windows(np.frombuffer(t, np.uint8)), len(t)]):
-                    sum_so_far = crc32(t[a:b], sum_so_far)
-                    yield sum_so_far, t[a:b]
+    @classmethod
+    def _bases(cls, plain: _Sample, n: int) -> list[bytes]:
+        return [cls._dictionary(plain.without(p, n), BASE_BYTES) for p in range(n)]
 
-        pieces = [p for _, p in nsmallest(PIECES, windows())]
+    @classmethod
+    def _pairs(cls, plain: _Sample, toxic: _Sample, bases: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """A pair of dictionaries for each base; each row is left out of one pair, unless there are too few to leave any out."""
+        part = lambda s, p: cls._dictionary(s.without(p, len(bases)), OWN_BYTES)
+        return [(part(plain, p) + base, part(toxic, p) + base) for p, base in enumerate(bases)]
 
-        def content(size: int) -> bytes:
-            try:
-                trained = z.train_dictionary(size, pieces, k=12, d=8).as_bytes()
-            except z.ZstdError:  # too few samples to choose from
-                return b" ".join(pieces)[:size]
-            return trained[trained.find(_HEADER_END) + len(_HEADER_END) :]
+    @classmethod
+    def _trained(cls, texts: list[bytes], sizes: tuple[int, ...] = (OWN_BYTES,)) -> list[bytes]:
+        """The contents of dictionaries trained on all windows of the texts or, beyond PIECES, on a sample of these."""
+        return [cls._dictionary(_Sample.cut(texts), size) for size in sizes]
+
+    @staticmethod
+    def _dictionary(sample: _Sample, size: int) -> bytes:
+        import zstandard as z
 
-        return [content(size) for size in sizes]
+        pieces = sample.pieces()
+        try:
+            trained = z.train_dictionary(size, pieces, k=12, d=8).as_bytes() if pieces else b""
+        except z.ZstdError:  # too few samples to choose from
+            return b" ".join(pieces)[:size]
+        return trained[trained.find(_HEADER_END) + len(_HEADER_END) :] if trained else b""
 
 
 def _regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
