@@ -34,7 +34,7 @@ from .shingles import binary_rows
 
 #: The labelled rows that training takes at most: those of the least hash, and none whose text has over TEXT_BYTES.
 TOXIC_ROWS, ORDINARY_ROWS, TEXT_BYTES = 2000, 3000, 32 << 10
-WINDOW = 32
+WINDOW = 40
 #: Pairs trained on mined and on all windows, and the bytes of a dictionary's own part and of the ordinary part that a pair shares.
 MINED_PAIRS, WHOLE_PAIRS, OWN_BYTES, BASE_BYTES = 2, 2, 4 << 10, 16 << 10
 #: Bytes of a window that is mined, the parts of the rows by which pairs take turns in mining, and the share of each toxic and ordinary row kept by round.
