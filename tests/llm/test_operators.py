@@ -295,6 +295,14 @@ def test_toxicity_learns_from_toxic_text_itself(monkeypatch):
     assert len(drawn) == toxicity.PIECES and 0.1 <= share <= 0.3
 
 
+def test_toxicity_trains_on_few_short_equal_and_blank_rows():
+    """Folds without rows, rows without a telling window and equal rows on both sides leave scores within 0 and 1."""
+    texts = [np.frombuffer(t, np.uint8) for t in (b"x", b" ", b"some words " * 500, b"\xff\x00")]
+    for toxic, plain in (([b"a"], [b"b"]), ([b"a b"] * 2, [b"c d"] * 3), ([b" "] * 9, [b"\n"] * 9), ([b"same words here"] * 40, [b"same words here"] * 40), ([b"z" * 5000] * 4, [b"words and words " * 300] * 30)):
+        got = toxicity.ToxicityModel.train(toxic, plain, 0.1).scores(texts)
+        assert len(got) == len(texts) and np.isfinite(got).all() and (got >= 0).all() and (got <= 1).all()
+
+
 def test_pipeline_stages_keep_columns_and_only_drop(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     was = {r.doc_id for r in docs.collect()}
